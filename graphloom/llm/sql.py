@@ -3,3 +3,20 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES["op3_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line, translate(trim(line, {BLANK}), {LOWER}) AS k FROM lines
+), hot AS (
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (hot.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
+"""
