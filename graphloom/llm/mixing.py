@@ -27,6 +27,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 _NONE = "\x00"
 _PREFIX = 20_000
 
@@ -62,7 +64,8 @@ def plan(counts: DataFrame, weights: Mapping[str, float] | None, power: float, d
     left = lambda x: F.greatest(F.least(x["nb"] - F.col("c0") * x["k"], x["k"]), F.lit(0).cast("long"))
     kinds = kinds.withColumn("b", F.transform("src", left)).withColumn("size", _sum(F.col("b"))).where("size > 0")
     placed = lambda x: F.least(x["nb"], F.col("c0") * x["k"])  # noqa: E731  (whole cycles come before c0)
-    return kinds.withColumn("base", _sum(F.transform("src", placed)))
+    # written (a few rows), as expressions over arrays are else computed anew for each of their uses
+    return saved(kinds.withColumn("base", _sum(F.transform("src", placed))), "cycles")
 
 
 def schedule(kinds: DataFrame) -> DataFrame:
@@ -76,10 +79,12 @@ def schedule(kinds: DataFrame) -> DataFrame:
 
     n = F.size("src").cast("long")
     per = lambda f: F.transform(_integers(n), lambda i: F.transform(_integers(b[i.cast("int")]), lambda j: f(i, j)))
-    windows = kinds.withColumn("release", per(lambda i, j: F.floor(fluid(i, j) / src[i.cast("int")]["k"]).cast("long"))).withColumn(
+    windows = kinds.repartition(kinds.count() or 1, "kind").withColumn("release", per(lambda i, j: F.floor(fluid(i, j) / src[i.cast("int")]["k"]).cast("long"))).withColumn(
         "due", per(lambda i, j: F.ceil(fluid(i, j + 1) / src[i.cast("int")]["k"]).cast("long"))
     )
 
+    windows = saved(windows, "windows")
+
     def step(state: Column, t: Column) -> Column:
         next_ = state["next"]
 
@@ -97,7 +102,7 @@ def schedule(kinds: DataFrame) -> DataFrame:
 
     begin = F.struct(F.transform(src, lambda x: F.lit(0).cast("long")).alias("next"), F.array().cast("array<bigint>").alias("order"))
     ordered = windows.withColumn("order", F.aggregate(_integers(F.col("size")), begin, step, lambda s: s["order"]))
-    rows = ordered.select("kind", "c0", "base", "size", "src", F.posexplode("order").alias("slot", "i"))
+    rows = saved(ordered, "orders").select("kind", "c0", "base", "size", "src", F.posexplode("order").alias("slot", "i"))
     rows = rows.select("kind", "c0", "base", "size", "slot", F.col("src")[F.col("i").cast("int")]["name"].alias("name"), F.col("src")[F.col("i").cast("int")]["k"].alias("k"))
     return rows.withColumn("j", F.row_number().over(Window.partitionBy("kind", "name").orderBy("slot")) - 1)
 
