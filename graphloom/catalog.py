@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import questions
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _part in (questions,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
