@@ -81,13 +81,11 @@ def _sigmoid(x: float) -> float:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(labelled: DataFrame, bits: int = 20, max_train: int = 20_000, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.0, l2: float = 1.0) -> np.ndarray:
-    """Weights from ``labelled`` (id, text, label 0 or 1), trained in one task over at most max_train rows in hash order."""
-    order = F.md5(F.col("id").cast("string"))
-    sample = labelled.where("id IS NOT NULL AND label IS NOT NULL").select("id", "text", F.col("label").cast("int").alias("label"), order.alias("h"))
-    # ids first, texts after: only the sample's texts meet in one task
-    taken = sample.select("h", "id").orderBy("h", "id").limit(max_train)
-    rows = sample.join(taken.select("id").distinct(), "id", "left_semi").repartition(1).sortWithinPartitions("h", "id", "label", "text")
+def fit(docs: DataFrame, known: DataFrame, bits: int = 20, max_train: int = 20_000, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.0, l2: float = 1.0) -> np.ndarray:
+    """Weights from docs (id, text) and known (id, label 0 or 1), trained in one task over at most max_train labels in hash order."""
+    taken = known.select("id", F.col("label").cast("int").alias("label"), F.md5(F.col("id").cast("string")).alias("h")).orderBy("h", "id").limit(max_train)
+    # max_train ids at most are sent to the scan, so only the sample's texts are shuffled, into one task
+    rows = docs.join(F.broadcast(taken), "id").repartition(1).sortWithinPartitions("h", "id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -137,6 +135,6 @@ def _features(bits: int) -> Features:
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3, **how) -> DataFrame:
     """Learns from the labelled documents outside fold 0 and scores all documents."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where(fold(F.col("id"), folds) != 0)
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-    return score(docs, fit(labelled, **how), threshold, folds, id_col, text_col)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where(fold(F.col("id"), folds) != 0)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return score(docs, fit(own, known, **how), threshold, folds, id_col, text_col)
