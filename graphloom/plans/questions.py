@@ -87,9 +87,10 @@ add("find_by_name", _activity(T.find_by_name, "view_1", "ns::", "BEHAVIOR"), """
 SELECT id, name, file, risk, gravity, complexity, canonical_kind, semantic_kind, structure_id, namespace_id FROM an
 WHERE contains(name, 'view_1') AND contains(namespace_id, 'ns::') AND canonical_kind = 'BEHAVIOR' AND snapshot_id = 'w2' ORDER BY gravity DESC, id LIMIT 10""", ("an",))
 add("cross_namespace_coupling", _containment(T.cross_namespace_coupling), """
-SELECT s.namespace_id AS from_namespace, t.namespace_id AS to_namespace, count(*) AS edge_count, round(avg(e.weight), 6) AS avg_coupling, max(s.risk) AS max_source_risk
-FROM ce e JOIN cn s ON e.source_id = s.id JOIN cn t ON e.target_id = t.id WHERE s.namespace_id <> t.namespace_id
+, s AS MATERIALIZED (SELECT e.target_id, e.weight, n.namespace_id, n.risk FROM ce e JOIN cn n ON e.source_id = n.id WHERE n.namespace_id IS NOT NULL)
+SELECT s.namespace_id AS from_namespace, t.namespace_id AS to_namespace, count(*) AS edge_count, round(avg(s.weight), 6) AS avg_coupling, max(s.risk) AS max_source_risk
+FROM s JOIN cn t ON s.target_id = t.id WHERE s.namespace_id <> t.namespace_id
 GROUP BY ALL ORDER BY edge_count DESC, from_namespace, to_namespace LIMIT 10""", C)
 add("layer_distribution", _containment(T.layer_distribution), """
-SELECT canonical_rank, canonical_kind, count(*) AS symbol_count, round(avg(risk), 6) AS avg_risk, round(avg(gravity), 6) AS avg_gravity, count_if(is_entry_point) AS entry_point_count
+SELECT canonical_rank, canonical_kind, count(*) AS symbol_count, round(avg(risk), 6) AS avg_risk, round(avg(gravity), 6) AS avg_gravity, CAST(count_if(is_entry_point) AS BIGINT) AS entry_point_count
 FROM cn GROUP BY canonical_rank, canonical_kind""", ("cn",))
