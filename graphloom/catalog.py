@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import questions
+from .plans import analysis, questions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (questions,):
+for _part in (questions, analysis):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -54,7 +54,7 @@ def drift(base: DataFrame, head: DataFrame) -> DataFrame:
     old = base.select("id", F.col("gravity").alias("g"), F.col("complexity").alias("c"), F.col("fingerprint").alias("f"))
     joined = head.select("id", "name", "file", "gravity", "complexity", "fingerprint").join(old, "id")
     dg, dc = F.col("gravity") - F.col("g"), F.col("complexity") - F.col("c")
-    velocity = F.round(dg * 0.5 + dc * 0.5, 6)
+    velocity = F.round(dg * 0.5 + dc * 0.5, 9)
     out = joined.select("id", "name", "file", F.round(dg, 6).alias("gravity_delta"), dc.alias("complexity_delta"), (~F.col("fingerprint").eqNullSafe(F.col("f"))).alias("is_modified"), velocity.alias("velocity"))
     return out.where((F.abs("velocity") > 0.001) | F.col("is_modified"))
 

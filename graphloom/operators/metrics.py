@@ -20,13 +20,13 @@ def risk_advisor(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     debt = F.size(F.coalesce("debt_markers", F.array().cast("array<string>"))) if "debt_markers" in nodes.columns else F.lit(0)
     parts = risk.advisor_parts(nz("gravity"), nz("complexity", 1), F.col("out_degree"), debt, nz("churn"), nz("entropy"))
     total = sum(parts.values(), F.lit(0.0))
-    return with_degrees(nodes, edges).select("id", "name", *(F.round(v, 6).alias(k) for k, v in parts.items()), F.round(total, 6).alias("risk"))
+    return with_degrees(nodes, edges).select("id", "name", *(F.round(v, 9).alias(k) for k, v in parts.items()), F.round(total, 9).alias("risk"))
 
 
 def risk_basic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """MET-04: (id, risk, factors)."""
     signals = (nz("gravity"), nz("entropy"), nz("churn"), F.col("out_degree"))
-    return with_degrees(nodes, edges).select("id", F.round(risk.basic(*signals), 6).alias("risk"), risk.basic_factors(*signals, nz("complexity", 1)).alias("factors"))
+    return with_degrees(nodes, edges).select("id", F.round(risk.basic(*signals), 9).alias("risk"), risk.basic_factors(*signals, nz("complexity", 1)).alias("factors"))
 
 
 def cohesion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def split_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """MET-05: (id, name, score, cohesion, coupling); a node without out-edges is wholly cohesive."""
     c = F.coalesce(F.try_divide(F.col("internal"), F.col("total")), F.lit(1.0))
     joined = nodes.join(cohesion(nodes, edges), "id", "left")
-    return joined.select("id", "name", F.round(risk.split_score(nz("gravity"), nz("entropy"), nz("churn"), c), 6).alias("score"), F.round(c, 6).alias("cohesion"), F.round(1 - c, 6).alias("coupling"))
+    return joined.select("id", "name", F.round(risk.split_score(nz("gravity"), nz("entropy"), nz("churn"), c), 9).alias("score"), F.round(c, 9).alias("cohesion"), F.round(1 - c, 9).alias("coupling"))
 
 
 def entropy(counts: DataFrame, by: str, n: str = "n") -> DataFrame:

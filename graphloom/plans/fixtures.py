@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 SPARK = {"day": "datediff(CAST(ts AS DATE), DATE '2024-01-01')", "sha": "sha2(%s, 256)", "ms": "CAST(unix_timestamp(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) * 1000", "hour": "date_format(date_trunc('hour', ts), 'yyyy-MM-dd HH')"}
-DUCK = {"day": "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))", "sha": "sha256(%s)", "ms": "CAST(epoch_ms(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT)", "hour": "strftime(date_trunc('hour', ts), '%%Y-%%m-%%d %%H')"}
+DUCK = {"day": "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))", "sha": "sha256(%s)", "ms": "CAST(epoch_ms(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT)", "hour": "strftime(date_trunc('hour', ts), '%Y-%m-%d %H')"}
 
 TEXT = {
     "ev": """
