@@ -188,7 +188,9 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, target: DataFrame, word_share: float = 1e-5, pair_share: float = 2e-6, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, loss_target, loss_background, score) of every document. target: the ids of the target's documents."""
     marks = target.select(F.col(id_col).alias("__gl_id")).where("__gl_id IS NOT NULL").distinct().withColumn("mark", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("__gl_id"), F.col(text_col).alias("text")).join(marks, "__gl_id", "left").select("text", F.coalesce("mark", F.lit(False)).alias("mark"))
+    # a shuffled join at every size; the marked texts are written once, as three passes read them
+    joined = docs.select(F.col(id_col).alias("__gl_id"), F.col(text_col).alias("text")).join(marks.hint("merge"), "__gl_id", "left")
+    marked = saved(joined.select("text", F.coalesce("mark", F.lit(False)).alias("mark")), "marked-texts")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(models(marked, word_share, pair_share, discount))
     schema = T.StructType([T.StructField(id_col, field_type(docs, id_col)), T.StructField("n_tokens", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("loss_target", "loss_background", "score")])
