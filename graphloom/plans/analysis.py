@@ -306,8 +306,8 @@ add("ranked_search", activity(lambda n, e: search.ranked(n, e, "click_25 error B
 , q(t) AS (VALUES ('click_25'), ('error'), ('behavior'), ('6'))
 , own AS MATERIALIZED (SELECT id, sum(CASE WHEN name = t THEN 100 WHEN contains(name, t) THEN 20 ELSE 0 END + CASE WHEN contains(semantic_kind, t) THEN 5 ELSE 0 END + CASE WHEN contains(file, t) THEN 10 ELSE 0 END + CASE WHEN lower(canonical_kind) = t THEN 50 ELSE 0 END + CASE WHEN CAST(canonical_rank AS VARCHAR) = t THEN 10 ELSE 0 END)
   * any_value(CASE WHEN gravity = 0 THEN 1 ELSE gravity END) AS score FROM n2, q GROUP BY id)
-, both AS (SELECT id, score FROM own WHERE score > 0 UNION ALL SELECT e.source_id, o.score * 0.5e0 FROM own o JOIN e2 e ON e.target_id = o.id WHERE o.score * 0.5e0 >= 1)
-SELECT id, round(sum(score), 6) AS score FROM both GROUP BY id ORDER BY score DESC, id LIMIT 20""", A)
+, sums AS (SELECT id, score FROM own WHERE score > 0 UNION ALL SELECT e.source_id, o.score * 0.5e0 FROM own o JOIN e2 e ON e.target_id = o.id WHERE o.score * 0.5e0 >= 1)
+SELECT id, round(sum(score), 6) AS score FROM sums GROUP BY id ORDER BY score DESC, id LIMIT 20""", A)
 add("find_nodes_by_name", activity(lambda n, e: search.by_name(n, "CLICK_1").select("id", "name")), f"{W} SELECT id, name FROM n2 WHERE contains(name, 'click_1') ORDER BY id LIMIT 20", A)
 add("pattern_match", activity(lambda n, e: search.pattern(n, e, "(class)-[:CONSTRUCTS]->(behavior)")), f"""{W}
 SELECT e.source_id, s.name AS source, e.type, e.target_id, t.name AS target, s.file AS source_file, t.file AS target_file, e.confidence FROM e2 e JOIN n2 s ON s.id = e.source_id JOIN n2 t ON t.id = e.target_id

@@ -33,19 +33,19 @@ TEXT = {
     'user::' || user_id AS parent_id, 'repository::activity' AS root_id, 'ns::' || (user_id %% 10) AS namespace_id,
     'user::' || user_id AS unit_id, 'user::' || user_id || '::purchase' AS structure_id,
     CAST(count(*) AS INT) AS complexity,
-    round(CAST(sum(value) AS DOUBLE) / count(*) / 500.0, 6) AS risk,
-    round(CAST(sum(value) AS DOUBLE) / 10000.0, 6) AS gravity,
+    round(CAST(sum(value) AS DOUBLE) / count(*) / 500.0e0, 9) AS risk,
+    round(CAST(sum(value) AS DOUBLE) / 10000.0e0, 9) AS gravity,
     event_type = 'signup' AS is_entry_point, CASE WHEN event_type = 'error' THEN 'private' ELSE 'public' END AS visibility,
     event_type IN ('view', 'purchase') AS is_exported, event_type = 'click' AS is_async, event_type = 'error' AS is_static,
     CASE WHEN event_type = 'view' THEN 'void' END AS returns,
     CAST(7 * (max(week) + 1) - min(day) AS INT) AS tenure_days, CAST(count(DISTINCT ts) AS INT) AS churn,
-    round(CAST(count(DISTINCT day) AS DOUBLE) / 7.0, 6) AS entropy, 'author' || (user_id %% 7) AS primary_author,
+    round(CAST(count(DISTINCT day) AS DOUBLE) / 7.0e0, 9) AS entropy, 'author' || (user_id %% 7) AS primary_author,
     CAST(count(DISTINCT day) AS INT) AS author_count, user_id %% 11 = 0 AS is_test
   FROM ev GROUP BY id, snapshot_id, user_id, event_type""",
     "ae": """
   SELECT type || '::' || source_id || '->' || target_id AS id, snapshot_id, source_id, target_id,
     CASE WHEN type = 'IMPORTS' THEN 'dependency' ELSE 'structural' END AS category, type,
-    CAST(count(*) AS DOUBLE) AS weight, 1.0 / (1.0 + count(*)) AS confidence
+    CAST(count(*) AS DOUBLE) AS weight, 1.0e0 / (1.0e0 + count(*)) AS confidence
   FROM (
     SELECT snapshot_id, id AS source_id, lead(id) OVER (PARTITION BY snapshot_id, user_id ORDER BY ts, event_id) AS target_id,
       CASE event_type WHEN 'click' THEN 'CALLS' WHEN 'view' THEN 'IMPORTS' WHEN 'purchase' THEN 'CONSTRUCTS' WHEN 'signup' THEN 'EXTENDS' ELSE 'ACCESSES' END AS type
@@ -58,11 +58,11 @@ TEXT = {
     CAST(NULL AS STRING) AS parent_id, CAST(NULL AS STRING) AS namespace_id, CAST(NULL AS STRING) AS unit_id, CAST(NULL AS STRING) AS structure_id, 0.0e0 AS risk, 0.0e0 AS gravity, 1 AS complexity, FALSE AS is_entry_point, 'public' AS visibility
   UNION ALL SELECT 'repository::' || r_regionkey, 'g1', 'REPOSITORY', 1, 'repository', r_name, NULL, 'ecosystem::global', NULL, NULL, NULL, 0.0e0, 0.0e0, 1, FALSE, 'public' FROM @region
   UNION ALL SELECT 'directory::' || n_nationkey, 'g1', 'NAMESPACE', 2, 'namespace', n_name, NULL, 'repository::' || n_regionkey, NULL, NULL, NULL, 0.0e0, 0.0e0, 1, FALSE, 'public' FROM @nation
-  UNION ALL SELECT 'customer::' || c_custkey, 'g1', 'UNIT', 3, 'unit', c_name, 'customer/' || c_custkey, 'directory::' || c_nationkey, 'directory::' || c_nationkey, 'customer::' || c_custkey, NULL, round((c_acctbal + 1000.0e0) / 12000.0e0, 6), 0.0e0, 1, FALSE, 'public' FROM @customer
-  UNION ALL SELECT 'order::' || o_orderkey, 'g1', 'STRUCTURE', 5, 'class', 'order_' || o_orderkey, 'customer/' || o_custkey, 'customer::' || o_custkey, 'directory::' || c_nationkey, 'customer::' || o_custkey, 'order::' || o_orderkey, round(o_totalprice / 600000.0e0, 6), round(o_totalprice / 1000000.0e0, 6), CAST(o_orderkey %% 30 AS INT) + 1, o_orderstatus = 'O', 'public' FROM @orders JOIN @customer ON o_custkey = c_custkey
-  UNION ALL SELECT 'line::' || l_orderkey || '::' || l_linenumber || '::' || l_partkey || '::' || l_suppkey, 'g1', 'BEHAVIOR', 6, 'method', 'line_' || l_linenumber, 'customer/' || o_custkey, 'order::' || l_orderkey, 'directory::' || c_nationkey, 'customer::' || o_custkey, 'order::' || l_orderkey, round(l_discount * 5.0e0, 6), round(l_extendedprice / 1000000.0e0, 6), CAST(l_quantity AS INT), FALSE, CASE l_returnflag WHEN 'R' THEN 'private' WHEN 'A' THEN 'protected' ELSE 'public' END FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey JOIN @customer ON o_custkey = c_custkey
-  UNION ALL SELECT 'part::' || p_partkey, 'g1', 'ATOM', 7, 'variable', p_name, NULL, NULL, NULL, NULL, NULL, round(p_retailprice / 3000.0e0, 6), 0.0e0, p_size, FALSE, 'public' FROM @part
-  UNION ALL SELECT 'supplier::' || s_suppkey, 'g1', 'INFRA', 4, 'infra', s_name, NULL, 'directory::' || s_nationkey, 'directory::' || s_nationkey, NULL, NULL, round((s_acctbal + 1000.0e0) / 12000.0e0, 6), 0.0e0, 1, FALSE, 'public' FROM @supplier""",
+  UNION ALL SELECT 'customer::' || c_custkey, 'g1', 'UNIT', 3, 'unit', c_name, 'customer/' || c_custkey, 'directory::' || c_nationkey, 'directory::' || c_nationkey, 'customer::' || c_custkey, NULL, round((c_acctbal + 1000.0e0) / 12000.0e0, 9), 0.0e0, 1, FALSE, 'public' FROM @customer
+  UNION ALL SELECT 'order::' || o_orderkey, 'g1', 'STRUCTURE', 5, 'class', 'order_' || o_orderkey, 'customer/' || o_custkey, 'customer::' || o_custkey, 'directory::' || c_nationkey, 'customer::' || o_custkey, 'order::' || o_orderkey, round(o_totalprice / 600000.0e0, 9), round(o_totalprice / 1000000.0e0, 9), CAST(o_orderkey %% 30 AS INT) + 1, o_orderstatus = 'O', 'public' FROM @orders JOIN @customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'line::' || l_orderkey || '::' || l_linenumber || '::' || l_partkey || '::' || l_suppkey, 'g1', 'BEHAVIOR', 6, 'method', 'line_' || l_linenumber, 'customer/' || o_custkey, 'order::' || l_orderkey, 'directory::' || c_nationkey, 'customer::' || o_custkey, 'order::' || l_orderkey, round(l_discount * 5.0e0, 9), round(l_extendedprice / 1000000.0e0, 9), CAST(l_quantity AS INT), FALSE, CASE l_returnflag WHEN 'R' THEN 'private' WHEN 'A' THEN 'protected' ELSE 'public' END FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey JOIN @customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'part::' || p_partkey, 'g1', 'ATOM', 7, 'variable', p_name, NULL, NULL, NULL, NULL, NULL, round(p_retailprice / 3000.0e0, 9), 0.0e0, p_size, FALSE, 'public' FROM @part
+  UNION ALL SELECT 'supplier::' || s_suppkey, 'g1', 'INFRA', 4, 'infra', s_name, NULL, 'directory::' || s_nationkey, 'directory::' || s_nationkey, NULL, NULL, round((s_acctbal + 1000.0e0) / 12000.0e0, 9), 0.0e0, 1, FALSE, 'public' FROM @supplier""",
     "ce": """
   SELECT 'm::' || id AS id, 'g1' AS snapshot_id, id AS source_id, parent_id AS target_id, 'MEMBER_OF' AS type, 1.0e0 AS weight FROM cn WHERE parent_id IS NOT NULL
   UNION ALL SELECT 'c::' || l_orderkey || '::' || l_linenumber || '::' || l_partkey || '::' || l_suppkey, 'g1', 'line::' || l_orderkey || '::' || l_linenumber || '::' || l_partkey || '::' || l_suppkey, 'part::' || l_partkey, 'CALLS', l_quantity FROM @lineitem
