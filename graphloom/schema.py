@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP": T.TimestampType(), "STRINGS": T.ArrayType(T.StringType()), "PROPERTIES": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """``name TYPE, ...`` as a schema; unlike the library's parser this needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in spec.split(","))])
 
 
 NODES = _struct("""
@@ -16,13 +23,13 @@ NODES = _struct("""
     name STRING, file STRING, line_start INT, line_end INT, parent_id STRING, root_id STRING, namespace_id STRING,
     unit_id STRING, structure_id STRING, layer_path STRING, depth INT, risk DOUBLE, gravity DOUBLE, complexity INT,
     is_entry_point BOOLEAN, visibility STRING, is_exported BOOLEAN, is_async BOOLEAN, is_static BOOLEAN, returns STRING,
-    tenure_days INT, churn INT, entropy DOUBLE, primary_author STRING, author_count INT, debt_markers ARRAY<STRING>,
-    is_test BOOLEAN, anomaly STRING, attrs MAP<STRING, STRING>
+    tenure_days INT, churn INT, entropy DOUBLE, primary_author STRING, author_count INT, debt_markers STRINGS,
+    is_test BOOLEAN, anomaly STRING, attrs PROPERTIES
 """)
 
 EDGES = _struct("""
     id STRING, snapshot_id STRING, source_id STRING, target_id STRING, category STRING, type STRING, weight DOUBLE,
-    confidence DOUBLE, line INT, properties MAP<STRING, STRING>
+    confidence DOUBLE, line INT, properties PROPERTIES
 """)
 
 SNAPSHOTS = _struct("id STRING, ts BIGINT, commit_hash STRING, node_count BIGINT, edge_count BIGINT, metadata STRING")
