@@ -1,14 +1,14 @@
 """Token-id files: texts are encoded, written as binary files by an adaptive context-mixing range coder, and read back.
 
 The coder predicts each id by three orders at once. The two ids before it name a candidate (order 2: what followed them
-last), the one before it another (order 1), and order 0 is an adaptive distribution over all ids, a tree of four
-16-way nodes. Each candidate has a confidence that grows when it is right and falls when it is wrong; for each pair of
-confidences adaptive counts give the three orders' weights in the mixture. A range coder with a 48-bit window codes the
-first order that has the id and, for order 0, the id itself.
+last in the block), the one before it another (order 1); order 0 are the ids that the block has had, and what none of
+them has is any 16-bit number. Each candidate has a confidence, how often in a row it was right; for each pair of
+confidences adaptive counts give the orders' weights in the mixture. A range coder with a 64-bit window codes, in one
+step, the first order that has the id and its place in it.
 
 Blocks of ids are coded independently: every model starts anew and each block has a CRC-32, so any block can be read
 alone and damage is found. That also makes the coder fast in numpy: up to ``LANES`` blocks advance in lockstep, one id of
-each at a time.
+each at a time, and the encoder, which knows all ids, finds every prediction beforehand by sorting.
 
 A file is a sequence of segments (little-endian; a line feed follows each):
     magic b"GLT1", u32 bytes of the rest, u32 documents, u32 blocks, u32 ids a block, u64 ids in all,
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,170 +39,143 @@ from pyspark.sql import types as T
 
 from .common import pieces, saved, scratch, texts
 
-MAGIC, LANES, BLOCK, SEGMENT = b"GLT1", 1024, 8192, 1 << 22
+MAGIC, LANES, BLOCK, SEGMENT = b"GLT1", 1024, 4096, 1 << 21
 _NULL = -(1 << 63)
 _HEAD = struct.Struct("<IIIIQ")
-_NODES, _STEP, _LIMIT = 1 + 16 + 256 + 4096, 32, 1 << 13
-_LEVEL = (0, 1, 17, 273)
-_H1, _H2 = 12, 13
-_TOP, _LOW32, _MASK48 = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1)
-_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
-
-
-class _Models:
-    """The adaptive models of n blocks in lockstep."""
-
-    def __init__(self, n: int):
-        self.tree = np.ones((n * _NODES, 16), np.uint16)
-        self.flat = self.tree.reshape(-1)
-        self.c1, self.c2 = np.zeros(n << _H1, np.int32), np.zeros(n << _H2, np.int32)
-        self.k1, self.k2 = np.zeros(n << _H1, np.int8), np.zeros(n << _H2, np.int8)
-        self.mix = np.tile(np.array([4, 3, 9], np.int64), (n * 16, 1))
-        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        lane = np.arange(n)
-        self.row, self.base1, self.base2, self.node0 = lane * 16, lane << _H1, lane << _H2, lane * _NODES
-
-    def predict(self, k: int) -> None:
-        """Candidates, confidences and weights of the first k lanes' next ids."""
-        p1, p2 = self.p1[:k], self.p2[:k]
-        self.i1 = self.base1[:k] + ((p1 * 0x9E3779B1 >> 7) & ((1 << _H1) - 1))
-        self.i2 = self.base2[:k] + (((p2 * 0x85EBCA6B + p1 * 0x9E3779B1) >> 9) & ((1 << _H2) - 1))
-        self.a1, self.a2 = self.c1[self.i1], self.c2[self.i2]
-        self.s1, self.s2 = self.k1[self.i1], self.k2[self.i2]
-        self.state = self.row[:k] + self.s2 * 4 + self.s1
-        self.weights = self.mix[self.state]
-        self.weights[:, 1] *= self.a1 != self.a2  # one candidate, one order
-
-    def learn(self, k: int, ids: np.ndarray, order: np.ndarray) -> None:
-        """Every order's state after the first k lanes' ids, which ``order`` (0: second, 1: first, 2: zeroth) coded."""
-        mix = self.mix
-        mix[self.state, order] += 24
-        full = np.flatnonzero(mix[self.state].sum(axis=1) > 4000)
-        if len(full):
-            mix[self.state[full]] = (mix[self.state[full]] >> 1) + 1
-        for c, conf, at, a, s in ((self.c1, self.k1, self.i1, self.a1, self.s1), (self.c2, self.k2, self.i2, self.a2, self.s2)):
-            hit = a == ids
-            conf[at] = np.where(hit, np.minimum(s + 1, 3), s >> 1)
-            c[at] = np.where(hit | (s > 0), a, ids)
-        self.p2[:k] = self.p1[:k]
-        self.p1[:k] = ids
-
-    def node(self, lanes: np.ndarray, level: int, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.node0[lanes] + _LEVEL[level] + path
-        return rows, np.cumsum(self.tree[rows], axis=1, dtype=np.int64)
-
-    def count(self, rows: np.ndarray, nibble: np.ndarray, total: np.ndarray) -> None:
-        self.flat[rows * 16 + nibble] += _STEP
-        full = np.flatnonzero(total > _LIMIT)
-        if len(full):
-            self.tree[rows[full]] = (self.tree[rows[full]] >> 1) + 1
-
-
-class _Writer:
-    def __init__(self, n: int, most: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
-        self.out = np.zeros((n, most * 5 // 2 + 8), np.uint16)  # five steps an id, half a word each, before it grows
-        self.size = np.zeros(n, np.int64)
-
-    def put(self, lanes: np.ndarray, start: np.ndarray, share: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[lanes] // total.astype(np.uint64)
-        low = self.low[lanes] + start.astype(np.uint64) * r
-        span = share.astype(np.uint64) * r
-        over = np.flatnonzero(low > _MASK48)
-        if len(over):
-            low[over] &= _MASK48
-            self._carry(lanes[over])
-        short = np.flatnonzero(span < _TOP)
-        if len(short):
-            at = lanes[short]
-            self._emit(at, low[short])
-            low[short] = (low[short] & _LOW32) << _16
-            span[short] <<= _16
-        self.low[lanes], self.range[lanes] = low, span
-
-    def _emit(self, at: np.ndarray, low: np.ndarray) -> None:
-        if int(self.size[at].max()) + 1 >= self.out.shape[1]:
-            self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1])))
-        self.out[at, self.size[at]] = (low >> _32).astype(np.uint16)
-        self.size[at] += 1
-
-    def _carry(self, lanes: np.ndarray) -> None:
-        back = self.size[lanes] - 1
-        while len(lanes):
-            self.out[lanes, back] += np.uint16(1)
-            more = self.out[lanes, back] == 0
-            lanes, back = lanes[more], back[more] - 1
-
-    def finish(self) -> list[np.ndarray]:
-        every = np.arange(len(self.low))
-        for _ in range(3):
-            self._emit(every, self.low)
-            self.low = (self.low & _LOW32) << _16
-        return [self.out[i, : self.size[i]] for i in every]
-
-
-class _Reader:
-    def __init__(self, words: list[np.ndarray]):
-        n = len(words)
-        self.at = np.cumsum([0] + [len(w) for w in words[:-1]]).astype(np.int64)
-        self.words = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.uint64)
-        self.range = np.full(n, (1 << 48) - 1, np.uint64)
-        self.code = np.zeros(n, np.uint64)
-        for _ in range(3):
-            self.code = (self.code << _16) | self.words[self.at]
-            self.at += 1
-
-    def target(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.r = self.range[lanes] // total.astype(np.uint64)
-        return np.minimum((self.code[lanes] // self.r).astype(np.int64), total - 1)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        code = self.code[lanes] - start.astype(np.uint64) * self.r
-        span = share.astype(np.uint64) * self.r
-        short = np.flatnonzero(span < _TOP)
-        if len(short):
-            at = lanes[short]
-            code[short] = (code[short] << _16) | self.words[np.minimum(self.at[at], len(self.words) - 1)]
-            self.at[at] += 1
-            span[short] <<= _16
-        self.code[lanes], self.range[lanes] = code, span
+_H1, _H2 = 10, 11  # bits of a context's place in its block's tables
+_START, _STEP = np.array([4, 4, 8, 8], np.int64), 32  # of the counts that give the orders' weights
+_ANY = 1 << 16
+_GROUP = 32
+_FLOOR, _16, _48 = np.uint64(1 << 48), np.uint64(16), np.uint64(48)
+
+
+def _places(p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the contexts of the ids before (p1) and before that (p2) stand in their tables."""
+    a = p1 * 40503
+    return (a >> 3) & ((1 << _H1) - 1), ((p2 * 30011 + a * 7) >> 4) & ((1 << _H2) - 1)
+
+
+def _last(place: np.ndarray, ids: np.ndarray, at: np.ndarray, lane: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate, confidence) of each id from its context's earlier places in the block; -1 and 0 where there are none."""
+    n = len(ids)
+    shift = n.bit_length()
+    key = np.sort((lane << _H2 | place) << shift | at)
+    order = key & ((1 << shift) - 1)
+    key >>= shift
+    follows = np.empty(n, bool)
+    follows[0] = False
+    np.equal(key[1:], key[:-1], out=follows[1:])
+    own = ids[order]
+    before = np.empty_like(own)
+    before[0], before[1:] = -1, own[:-1]
+    hit = follows & (before == own)
+    twice = np.zeros(n, bool)
+    np.logical_and(hit[:-1], follows[1:], out=twice[1:])
+    thrice = np.zeros(n, bool)
+    np.logical_and(twice[:-1], twice[1:], out=thrice[1:])
+    confidence = follows.view(np.int8) + twice + thrice
+    candidates, confidences = np.empty(n, np.int64), np.empty(n, np.int8)
+    candidates[order] = np.where(follows, before, -1)
+    confidences[order] = confidence
+    return candidates, confidences
+
+
+def _plan(ids: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
+    """What the range coder needs for each id: start and share of its order, their total, places in the order, its place."""
+    n, bits = len(ids), block.bit_length() - 1
+    at = np.arange(n)
+    lane = at >> bits
+    p1, p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    p1[1:] = ids[:-1]
+    p1[::block] = 0
+    p2[1:] = p1[:-1]
+    p2[::block] = 0
+    place1, place2 = _places(p1, p2)
+    a1, k1 = _last(place1, ids, at, lane, bits)
+    a2, k2 = _last(place2, ids, at, lane, bits)
+    shift = n.bit_length()
+    low = (1 << shift) - 1
+    # order 0: the ids of a block in the order of their first places
+    key = np.sort((lane << 16 | ids) << shift | at)
+    order = key & low
+    key >>= shift
+    opens = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=opens[1:])
+    new = np.zeros(n, bool)
+    new[order[opens]] = True
+    had = np.cumsum(new) - new  # different ids of the block before each place
+    had -= had[lane << bits]
+    seat = np.empty(n, np.int64)
+    seat[order] = had[order[opens]][np.cumsum(opens) - 1]
+    outcome = np.where(a2 == ids, 0, np.where(a1 == ids, 1, np.where(new, 3, 2)))
+    state = (k2 * 4 + k1).astype(np.int64) + 16 * ((a1 == a2) & (k1 > 0))
+    key = np.sort((lane << 5 | state) << shift | at)
+    order = key & low
+    key >>= shift
+    opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    group = np.repeat(opens, np.diff(np.r_[opens, n]))
+    own = outcome[order]
+    start, share = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for o in range(4):
+        is_o = own == o
+        seen = np.cumsum(is_o) - is_o
+        weight = _START[o] + _STEP * (seen - seen[group])
+        start += np.where(own > o, weight, 0)
+        share[is_o] = weight[is_o]
+    out = np.empty((5, n), np.uint32)
+    out[0, order], out[1, order], out[2, order] = start, share, _START.sum() + _STEP * (np.arange(n) - group)
+    out[3] = np.where(outcome == 2, had, np.where(outcome == 3, _ANY, 1))
+    out[4] = np.where(outcome == 2, seat, np.where(outcome == 3, ids, 0))
+    return tuple(out)
 
 
 def code_blocks(ids: np.ndarray, block: int) -> list[np.ndarray]:
     """The coded words of each block of ids (all below 65536)."""
     if not len(ids):
         return []
-    n = -(-len(ids) // block)
-    grid = np.zeros(n * block, np.int64)
-    grid[: len(ids)] = ids
-    columns = np.ascontiguousarray(grid.reshape(n, block).T)
-    models, out = _Models(n), _Writer(n, min(block, len(ids)))
-    last = len(ids) - (n - 1) * block
-    every = np.arange(n)
-    for s in range(min(block, len(ids))):
+    n, count = -(-len(ids) // block), len(ids)
+    steps = min(block, count)
+    last = count - (n - 1) * block
+    columns = np.ones((5, steps, n), np.uint32)
+    for a in range(0, n, _GROUP):  # a few blocks at a time stay in the processor's cache
+        own = ids[a * block : (a + _GROUP) * block]
+        whole = len(own) // block
+        for c, x in zip(columns, _plan(own, block), strict=True):
+            c[:, a : a + whole] = x[: whole * block].reshape(whole, block).T[:steps]
+            if len(own) > whole * block:
+                c[: len(own) - whole * block, a + whole] = x[whole * block :]
+    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    words = np.zeros((n, steps * 2 + 8), np.uint16)  # 33 bits an id at most
+    flat, row = words.reshape(-1), np.arange(n) * words.shape[1]
+    size = row.copy()
+
+    def emit(at: np.ndarray) -> None:
+        flat[size[at]] = low[at] >> _48
+        size[at] += 1
+        low[at] <<= _16
+
+    for s in range(steps):
         k = n if s < last else n - 1
-        x = columns[s, :k]
-        models.predict(k)
-        w = models.weights
-        order = np.where(x == models.a2, 0, np.where((x == models.a1), 1, 2))
-        w1 = w[:, 0]
-        w2 = w1 + w[:, 1]
-        total = w2 + w[:, 2]
-        start = np.where(order == 0, 0, np.where(order == 1, w1, w2))
-        out.put(every[:k], start, w[every[:k], order], total)
-        lanes = np.flatnonzero(order == 2)
-        if len(lanes):
-            y = x[lanes]
-            for level in range(4):
-                rows, cum = models.node(lanes, level, y >> (16 - 4 * level))
-                nibble = (y >> (12 - 4 * level)) & 15
-                e = np.arange(len(lanes))
-                high = cum[e, nibble]
-                share = models.flat[rows * 16 + nibble].astype(np.int64)
-                out.put(lanes, high - share, share, cum[:, 15])
-                models.count(rows, nibble, cum[:, 15])
-        models.learn(k, x, order)
-    return out.finish()
+        start, share, total, places, place = (c[s, :k] for c in columns)
+        r = span[:k] // total
+        sub = r * share // places
+        add = r * start + sub * place
+        low[:k] += add
+        span[:k] = sub
+        over = np.flatnonzero(low[:k] < add)
+        if len(over):
+            back = size[over] - 1
+            while len(back):  # carry into the words before
+                flat[back] += np.uint16(1)
+                back = back[flat[back] == 0] - 1
+        short = np.flatnonzero(span[:k] < _FLOOR)
+        while len(short):
+            emit(short)
+            span[short] <<= _16
+            short = short[span[short] < _FLOOR]
+    for _ in range(4):
+        emit(np.arange(n))
+    return [words[i, : size[i] - row[i]] for i in range(n)]
 
 
 def decode_blocks(words: list[np.ndarray], count: int, block: int) -> np.ndarray:
@@ -209,41 +183,72 @@ def decode_blocks(words: list[np.ndarray], count: int, block: int) -> np.ndarray
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
-    columns = np.zeros((min(block, count), n), np.int64)
-    models, data = _Models(n), _Reader(words)
+    steps = min(block, count)
     last = count - (n - 1) * block
-    every = np.arange(n)
-    for s in range(len(columns)):
+    data = np.concatenate([*words, np.zeros(8, np.uint16)]).astype(np.uint64)
+    at = np.cumsum([0] + [len(w) for w in words[:-1]]).astype(np.int64)
+    span, code = np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64)
+    for _ in range(4):
+        code = code << _16 | data[at]
+        at += 1
+    columns = np.zeros((steps, n), np.int32)
+    lane = np.arange(n)
+    table1, table2 = np.full(n << _H1, -4, np.int32), np.full(n << _H2, -4, np.int32)  # candidate * 4 + confidence
+    base1, base2 = lane << _H1, lane << _H2
+    mix = np.tile(_START, n * 32)
+    row = lane * 32
+    seats, had, seat0 = np.zeros(n * steps, np.int32), np.zeros(n, np.int64), lane * steps
+    p1, p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for s in range(steps):
         k = n if s < last else n - 1
-        models.predict(k)
-        w = models.weights
-        w1 = w[:, 0]
-        w2 = w1 + w[:, 1]
-        total = w2 + w[:, 2]
-        v = data.target(every[:k], total)
-        order = (v >= w1).astype(np.int64) + (v >= w2)
-        data.take(every[:k], np.where(order == 0, 0, np.where(order == 1, w1, w2)), w[every[:k], order])
-        x = np.where(order == 0, models.a2, models.a1).astype(np.int64)
-        lanes = np.flatnonzero(order == 2)
-        if len(lanes):
-            y = np.zeros(len(lanes), np.int64)
-            for level in range(4):
-                rows, cum = models.node(lanes, level, y)
-                v = data.target(lanes, cum[:, 15])
-                nibble = (cum <= v[:, None]).sum(axis=1)
-                share = models.flat[rows * 16 + nibble].astype(np.int64)
-                data.take(lanes, cum[np.arange(len(lanes)), nibble] - share, share)
-                models.count(rows, nibble, cum[:, 15])
-                y = y << 4 | nibble
-            x[lanes] = y
-        models.learn(k, x, order)
+        i1, i2 = _places(p1[:k], p2[:k])
+        i1, i2 = base1[:k] + i1, base2[:k] + i2
+        t1, t2 = table1[i1], table2[i2]
+        a1, a2, k1, k2 = t1 >> 2, t2 >> 2, t1 & 3, t2 & 3
+        state = row[:k] + k2 * 4 + k1 + 16 * ((a1 == a2) & (k1 > 0))
+        state <<= 2
+        w0, w1, w2, w3 = mix[state], mix[state + 1], mix[state + 2], mix[state + 3]
+        e1 = w0 + w1
+        e2 = e1 + w2
+        total = e2 + w3
+        r = span[:k] // total.view(np.uint64)
+        v = np.minimum((code[:k] // r).view(np.int64), total - 1)
+        by1, by2, by3 = v >= w0, v >= e1, v >= e2
+        outcome = by1.view(np.int8) + by2 + by3
+        share = np.where(by2, np.where(by3, w3, w2), np.where(by1, w1, w0))
+        start = np.where(by2, np.where(by3, e2, e1), w0 * by1)
+        places = np.where(by3, _ANY, np.where(by2, had[:k], 1))
+        sub = r * share.view(np.uint64) // places.view(np.uint64)
+        rest = code[:k] - r * start.view(np.uint64)
+        place = np.minimum(rest // sub, (places - 1).view(np.uint64))
+        code[:k] = rest - place * sub
+        span[:k] = sub
+        x = np.where(by1, a1, a2).astype(np.int64)
+        old = np.flatnonzero(by2)
+        x[old] = seats[seat0[old] + np.where(by3[old], 0, place[old].view(np.int64))]
+        new = np.flatnonzero(by3)
+        x[new] = place[new].view(np.int64)
+        seats[seat0[new] + had[new]] = x[new]
+        had[new] += 1
+        mix[state + outcome] += _STEP
+        table1[i1] = x << 2 | np.where(a1 == x, np.minimum(k1 + 1, 3), 1)
+        table2[i2] = x << 2 | np.where(a2 == x, np.minimum(k2 + 1, 3), 1)
+        p2[:k] = p1[:k]
+        p1[:k] = x
         columns[s, :k] = x
-    return columns.T.reshape(-1)[:count] if len(columns) == block else columns.T.reshape(-1)
+        short = np.flatnonzero(sub < _FLOOR)
+        while len(short):
+            code[short] = code[short] << _16 | data[np.minimum(at[short], len(data) - 1)]
+            at[short] += 1
+            span[short] <<= _16
+            short = short[span[short] < _FLOOR]
+    flat = np.ascontiguousarray(columns.T).reshape(-1).astype(np.int64)
+    return flat[:count] if steps == block else flat
 
 
 def _blocks_of(total: int) -> int:
     """Ids a block: small segments have smaller blocks, so that enough of them advance together."""
-    return max(512, min(BLOCK, 1 << (total // LANES).bit_length()))
+    return max(256, min(BLOCK, 1 << (total // LANES).bit_length()))
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -288,10 +293,6 @@ def unpack(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         at += 8 + rest + 1
 
 
-class _Encoded(dict):
-    """chunk -> its ids as little-endian 16-bit integers."""
-
-
 @functools.cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -303,26 +304,41 @@ def _tokenizer(path: str):
     return tokenizer, {}
 
 
+# Texts where a boundary of ASCII punctuation could lie inside a pre-token: control characters, apostrophes, anything but
+# ASCII and Latin letters, special tokens.
+_INTRICATE = re.compile("[\x00-\x08\x0e-\x1f'\x7f-\xbf\xd7\xf7\u0130\u0250-\U0010ffff]|<\\|").search
+_RUNS = re.compile(r"[!-/:-@\[-`{-~]+|[^\s!-/:-@\[-`{-~]+").findall
+
+
+def _chunks(text: str) -> list[str]:
+    """Parts of a text that the vocabulary's pre-tokenizer never joins.
+
+    It drops white space and splits letters, numbers and other characters; it lower-cases before. So texts of ASCII and
+    Latin letters fall into runs of punctuation and of the rest, others at ASCII white space only.
+    """
+    if _INTRICATE(text):
+        return [c.decode() for c in text.encode().split()]
+    return _RUNS(text.lower())
+
+
 def encode_texts(batch: list[bytes | None], path: str, end: int) -> list[bytes]:
     """Ids of each text and the end id, as little-endian 16-bit integers.
 
-    The vocabulary's pre-tokenizer drops white space and no piece crosses it, so a text's ids are those of its chunks
-    between ASCII white space, which the worker remembers; new chunks go to the library together.
+    A text's ids are those of its chunks, which the worker remembers; new chunks go to the library together.
     """
     tokenizer, known = _tokenizer(path)
     if len(known) > 1 << 20:
         known.clear()
     tail = struct.pack("<H", end)
-    out = []
-    split = [(t or b"").split() for t in batch]
-    new = list({c for chunks in split for c in chunks if c not in known})
+    split = [_chunks((t or b"").decode("utf-8", "replace")) for t in batch]
+    new = list(set().union(*split).difference(known)) if split else []
     for a in range(0, len(new), 10_000):
         some = new[a : a + 10_000]
-        for chunk, found in zip(some, tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
-            known[chunk] = struct.pack(f"<{len(found.ids)}H", *found.ids)
-    for chunks in split:
-        out.append(b"".join([*map(known.__getitem__, chunks), tail]))
-    return out
+        for chunk, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            ids = found.ids
+            known[chunk] = struct.pack(f"<{len(ids)}H", *ids)
+    get = known.__getitem__
+    return [b"".join([*map(get, chunks), tail]) for chunks in split]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
