@@ -40,6 +40,7 @@ from .common import arrow_map, field_type, saved, texts
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _CHUNK = 1 << 18
+_FEW_BITS = 13  # a root with no more free bits holds 8192 fingerprints at most and isn't split
 
 
 def fingerprint(data: bytes, width: int = 4) -> int:
@@ -204,7 +205,7 @@ def links(distinct: DataFrame, max_bits: int = 4, most: int = 8192) -> DataFrame
     while True:
         key = F.col("fp").bitwiseAND(F.col("mask"))
         todo = saved(todo.mapInArrow(_Roots(max_bits), keyed_schema).withColumn("key", key), "trie-roots")
-        hot = todo.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("mask", "key")
+        hot = todo.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > most) & (F.bit_count("mask") < 64 - _FEW_BITS)).select("mask", "key")
         hot = saved(hot, "hot-roots")
         last = hot.isEmpty()
         own = todo if last else todo.join(hot, ["mask", "key"], "left_anti")
