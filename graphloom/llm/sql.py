@@ -35,3 +35,65 @@ WITH v AS (
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
+
+
+def _url_filter(order: int = 4, folds: int = 5, unit: str = "1000000000") -> str:
+    """The url filter: rules, back-off tables of each order, the calibrated threshold."""
+    ranked = [("example.com/de/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow"), ("net/", "block")]
+    fits = [f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN" for r, _ in ranked]
+    rule = "CASE " + " ".join(f"{f} '{r}'" for f, (r, _) in zip(fits, ranked, strict=True)) + " END"
+    said = "CASE " + " ".join(f"{f} '{v}'" for f, (_, v) in zip(fits, ranked, strict=True)) + " END"
+    parts = [
+        "u AS (SELECT DISTINCT url FROM pages)",
+        "h AS (SELECT url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u)",
+        f"hp AS (SELECT url, translate(regexp_extract(rest, '^([^/?#]*)', 1), {LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM h)",
+        f"r AS MATERIALIZED (SELECT url, host, path, {rule} AS rule, {said} AS said FROM hp)",
+        f"k AS (SELECT url, said, said IS NOT NULL AND CAST('0x' || substr(md5(coalesce(url, '')), 1, 7) AS BIGINT) % {folds} = 0 AS held, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE url END, '') AS txt FROM r)",
+        f"g AS MATERIALIZED (SELECT url, said, held, substr(repeat(chr(2), {order}) || txt || chr(3), pos, {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(txt) + 2)) AS pos FROM k))",
+        f"c{order} AS MATERIALIZED (SELECT gram, coalesce(count_if(said = 'allow' AND NOT held), 0) AS a, coalesce(count_if(said = 'block' AND NOT held), 0) AS b FROM g GROUP BY gram)",
+    ]
+    parts += [f"c{k} AS MATERIALIZED (SELECT substr(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM c{k + 1} GROUP BY 1)" for k in range(order - 1, -1, -1)]
+    parts += [f"x{k} AS MATERIALIZED (SELECT substr(gram, 1, {k}) AS ctx, sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM c{k} GROUP BY 1)" for k in range(order + 1)]
+    mixed = lambda s, below: f"CASE WHEN n{s} + t{s} > 0 THEN (c.{s} + t{s} * {below}) / (n{s} + t{s}) ELSE {below} END AS p{s}"
+    flat = f"(SELECT 1.0e0 / greatest(1, count(DISTINCT substr(gram, {order + 1}, 1))) FROM c{order})"
+    parts.append(f"p0 AS MATERIALIZED (SELECT c.gram, {mixed('a', flat)}, {mixed('b', flat)} FROM c0 c JOIN x0 ON x0.ctx = '')")
+    for k in range(1, order + 1):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT c.gram, {mixed('a', 'l.pa')}, {mixed('b', 'l.pb')} FROM c{k} c JOIN x{k} x ON x.ctx = substr(c.gram, 1, {k}) JOIN p{k - 1} l ON l.gram = substr(c.gram, 2))")
+    parts += [
+        f"m AS (SELECT gram, CAST(round((ln(pa) - ln(pb)) * {unit}) AS BIGINT) AS ratio FROM p{order})",
+        "s AS MATERIALIZED (SELECT url, said, sum(ratio) / count(*) AS score FROM g JOIN m USING (gram) WHERE said IS NULL OR held GROUP BY url, said)",
+        "f AS (SELECT avg(score) FILTER (said = 'allow') AS ma, avg(score) FILTER (said = 'block') AS mb, stddev_pop(score) FILTER (said = 'allow') AS sa, stddev_pop(score) FILTER (said = 'block') AS sb FROM s)",
+        "t AS (SELECT round(coalesce(CASE WHEN sa + sb > 0 THEN (ma * sb + mb * sa) / (sa + sb) END, (ma + mb) / 2, 0)) AS threshold, (SELECT count(DISTINCT said) FROM k WHERE said IS NOT NULL AND NOT held) < 2 AS untrained FROM f)",
+    ]
+    return "WITH " + ",\n".join(parts) + """
+SELECT page_id, host, path, rule, coalesce(r.said, CASE WHEN untrained OR score >= threshold THEN 'allow' ELSE 'block' END) AS verdict
+FROM pages JOIN r ON r.url IS NOT DISTINCT FROM pages.url CROSS JOIN t LEFT JOIN s ON s.url IS NOT DISTINCT FROM pages.url AND s.said IS NULL"""
+
+
+ORACLES["op7_url_filter"] = _url_filter()
+
+#: Earliest deadline first over the windows of each kind of cycle, one slot a step of the recursion.
+ORACLES["op5_source_mix"] = """
+WITH RECURSIVE s AS (SELECT coalesce(source, chr(0)) AS nm, count(*) AS n FROM documents GROUP BY 1),
+w AS MATERIALIZED (SELECT nm, n, greatest(1, CAST(round(500 * pow(n, 0.5) / (SELECT sum(pow(n, 0.5)) FROM s)) AS BIGINT)) AS k, (n + 15) // 16 AS nb FROM s),
+kinds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c0) - 1 AS kind, c0 FROM (SELECT 0 AS c0 UNION SELECT nb // k FROM w UNION SELECT nb // k + 1 FROM w)),
+b AS MATERIALIZED (SELECT kind, c0, nm, k, greatest(least(nb - c0 * k, k), 0) AS b, least(nb, c0 * k) AS bef FROM kinds CROSS JOIN w),
+z AS MATERIALIZED (SELECT kind, CAST(sum(b) AS BIGINT) AS size, CAST(sum(bef) AS BIGINT) AS base FROM b GROUP BY kind HAVING sum(b) > 0),
+own AS (SELECT *, unnest(range(b)) AS j FROM b),
+jobs AS MATERIALIZED (
+  SELECT x.kind, x.nm, x.j, sum(least(o.b * x.k, o.k * x.j)) // any_value(x.k) AS rel, 
+    CAST(ceil(sum(least(o.b * x.k, o.k * (x.j + 1))) / any_value(x.k)) AS BIGINT) AS due
+  FROM own x JOIN b o ON o.kind = x.kind GROUP BY x.kind, x.nm, x.j),
+sim AS (
+  SELECT kind, CAST(-1 AS BIGINT) AS t, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS pick, size FROM z
+  UNION ALL
+  SELECT q.kind, q.t + 1, list_append(q.done, q.p), q.p, q.size FROM (
+    SELECT sim.kind, sim.t, sim.done, sim.size, arg_min(jobs.nm || '|' || jobs.j, {'d': jobs.due, 'n': jobs.nm, 'j': jobs.j}) AS p
+    FROM sim JOIN jobs ON jobs.kind = sim.kind WHERE sim.t + 1 < sim.size AND jobs.rel <= sim.t + 1 AND NOT list_contains(sim.done, jobs.nm || '|' || jobs.j)
+    GROUP BY sim.kind, sim.t, sim.done, sim.size) q
+),
+ranked AS (SELECT doc_id, source, coalesce(source, chr(0)) AS nm, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS i FROM documents),
+placed AS (SELECT r.doc_id, r.source, r.nm, r.i, r.i // 16 // w.k AS c, r.i // 16 - (r.i // 16 // w.k) * w.k AS j, (SELECT max(kind) FROM kinds WHERE c0 <= r.i // 16 // w.k) AS kind FROM ranked r JOIN w USING (nm))
+SELECT doc_id, source, CAST((z.base + (p.c - kinds.c0) * z.size + sim.t) * 16 + p.i % 16 AS BIGINT) AS position
+FROM placed p JOIN z USING (kind) JOIN kinds USING (kind) JOIN sim ON sim.kind = p.kind AND sim.pick = p.nm || '|' || p.j
+"""
