@@ -119,7 +119,7 @@ ORACLES["weak_components"] = f"""{prefix(*A)}{W}
 SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a"""
 add("topological_levels", containment(lambda n, e: G.topological_levels(e.where("type = 'MEMBER_OF'"))), """
 , lv AS (SELECT 'ecosystem::global' AS id, 0 AS level UNION ALL SELECT e.source_id, lv.level + 1 FROM lv JOIN ce e ON e.target_id = lv.id AND e.type = 'MEMBER_OF')
-SELECT id, CAST(level AS INTEGER) AS level FROM lv""", C)
+SELECT DISTINCT id, CAST(level AS INTEGER) AS level FROM lv""", C)
 
 # Visual -------------------------------------------------------------------------------------------------------------
 _UP = """
