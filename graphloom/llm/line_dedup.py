@@ -58,7 +58,8 @@ def _document_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int
 def with_frequent(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``__gl_drop``: the hashes of its lines that are frequent (null: none)."""
     hashes = saved(_document_hashes(docs, id_col, text_col, min_chars), "line-hashes")
-    frequent = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
+    # written, so that both sides of the join are plain exchanges and adaptive execution can split a hot line
+    frequent = saved(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h"), "frequent-lines")
     drops = hashes.join(frequent, "h", "left_semi").groupBy(_ID).agg(F.collect_set("h").alias(_DROP))
     return docs.join(drops, docs[id_col].eqNullSafe(drops[_ID]), "left").drop(_ID)
 
