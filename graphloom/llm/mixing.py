@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 _NONE = "\x00"
-_PREFIX = 20_000
+_PREFIX = 1_000
 
 
 def _weight(weights: Mapping[str, float] | None, power: float, default: float) -> Column:
