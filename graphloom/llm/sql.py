@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import LineRules
+
 ORACLES: dict[str, str] = {}
 
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -97,3 +99,34 @@ placed AS (SELECT r.doc_id, r.source, r.nm, r.i, r.i // 16 // w.k AS c, r.i // 1
 SELECT doc_id, source, CAST((z.base + (p.c - kinds.c0) * z.size + sim.t) * 16 + p.i % 16 AS BIGINT) AS position
 FROM placed p JOIN z USING (kind) JOIN kinds USING (kind) JOIN sim ON sim.kind = p.kind AND sim.pick = p.nm || '|' || p.j
 """
+
+
+def _quality_rules(rules: LineRules = LineRules()) -> str:
+    word = r"'[^\x20\x09-\x0D]+'"
+    bars = "['|', '||', '»', '«', '›', '‹', '•', '·', '>', '<', '>>', '<<', '/', '→']"
+    phrases = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in rules.boilerplate) + "]"
+    end = r"""'[.!?…]["'')\]»’”“]*(?:[\x20\x09-\x0D]|$)'"""
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {word}) AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+inside AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+l AS (SELECT doc_id, line, regexp_extract_all(line, {word}) AS w FROM (SELECT doc_id, unnest(lines) AS line FROM d)),
+j AS (SELECT doc_id, len(w) AS n,
+    NOT regexp_matches(line, {end})
+    OR (len(list_filter(w, lambda x: list_contains({bars}, x))) >= 3 AND len(list_filter(w, lambda x: list_contains({bars}, x))) >= {rules.max_separator_share} * len(w))
+    OR (len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) >= {rules.max_symbol_share} * len(w))
+    OR (len(w) >= 5 AND (len(list_filter(w, lambda x: ends_with(x, '!'))) >= {rules.max_loud_share} * len(w) OR len(regexp_extract_all(line, '\\p{{Lu}}')) > {rules.max_loud_share} * len(regexp_extract_all(line, '\\p{{L}}'))))
+    OR (len(w) >= 20 AND len(list_distinct(w)) < {rules.min_distinct_share} * len(w))
+    OR (len(w) <= {rules.boilerplate_words} AND len(list_filter({phrases}, lambda x: contains(lower(line), x))) > 0) AS fails
+  FROM l WHERE len(w) > 0),
+f AS (SELECT doc_id, CAST(count(*) FILTER (fails) AS BIGINT) AS n_failed_lines, CAST(coalesce(sum(n) FILTER (fails), 0) AS BIGINT) AS n_lost_words FROM j GROUP BY doc_id),
+b AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    len(list_filter(lines, lambda x: regexp_matches(x, {word}))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, {word})))) AS n_dup_lines,
+    coalesce(inside.n, 0) AS n_repeat_words, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(n_lost_words, 0) AS n_lost_words
+  FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN f USING (doc_id))
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
+  NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words) AND n_lost_words <= {rules.max_lost_share} * n_words AS kept, n_failed_lines, n_lost_words FROM b"""
+
+
+ORACLES["op1_quality_rules"] = _quality_rules()
