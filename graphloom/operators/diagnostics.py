@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRUCTURAL = ("MEMBER_OF", "CONTAINS")
+# Edges that make a symbol part of the running whole.
+FUNCTIONAL = ("CALLS", "USES", "IMPORTS", "IMPLEMENTS", "EXTENDS", "TYPE_REFERENCE", "CONSTRUCTS")
+# Names that may occur often.
+COMMON_NAMES = (
+    "init", "execute", "executeUserEntryPoint", "CORRUPT_UNIT", "unknown", "constructor", "log", "trace", "fmt", "query", "calculateComplexity",
+    "extractDebt", "analyze", "link", "process", "main", "resolveImport",
+)
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,29 +24,28 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes without a functional edge into them."""
-    return nodes.join(edges.where(~F.col("type").isin(*STRUCTURAL)).select(F.col("target_id").alias("id")), "id", "left_anti")
+def _touched(edges: DataFrame) -> DataFrame:
+    """Ids at either end of a functional edge."""
+    return edges.where(F.col("type").isin(*FUNCTIONAL)).select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
 
 
 def layer_census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """DIA-02: per layer its nodes, its orphans and the percentage that isn't orphaned."""
-    touched = edges.where(~F.col("type").isin(*STRUCTURAL)).select(F.col("target_id").alias("id")).distinct().withColumn("hit", F.lit(1))
-    joined = nodes.select("id", "canonical_kind").join(touched, "id", "left")
-    rolled = joined.groupBy("canonical_kind").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hit").isNull()).alias("orphans"))
-    return rolled.select("canonical_kind", "total", "orphans", F.round(100.0 * (F.col("total") - F.col("orphans")) / F.col("total"), 2).alias("health"))
+    """DIA-02: per layer its nodes, those at no functional edge, and the percentage of the others."""
+    joined = nodes.select("id", "canonical_kind", "canonical_rank").join(_touched(edges).withColumn("hit", F.lit(1)), "id", "left")
+    rolled = joined.groupBy("canonical_kind", "canonical_rank").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hit").isNull()).alias("orphans"))
+    return rolled.select("canonical_kind", "canonical_rank", "total", "orphans", F.round(100.0 * (F.col("total") - F.col("orphans")) / F.col("total"), 4).alias("health"))
 
 
-def shadow_symbols(nodes: DataFrame, more_than: int = 5, stop: Sequence[str] = ("constructor", "init", "main"), limit: int = 10) -> DataFrame:
-    """DIA-03, AGG-08: names that occur too often, with their files."""
-    rolled = nodes.where(~F.col("name").isin(*stop)).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files")).where(F.col("n") > more_than)
+def shadow_symbols(nodes: DataFrame, more_than: int = 5, stop: Sequence[str] = COMMON_NAMES, limit: int = 10) -> DataFrame:
+    """DIA-03, AGG-08: names of structures and behaviour that occur too often, with their files."""
+    own = nodes.where(F.col("canonical_kind").isin("STRUCTURE", "BEHAVIOR") & ~F.col("name").isin(*stop))
+    rolled = own.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("file")), ", ").alias("files")).where(F.col("n") > more_than)
     return rolled.orderBy(F.col("n").desc(), "name").limit(limit)
 
 
 def orphan_list(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = ("BEHAVIOR", "STRUCTURE")) -> DataFrame:
     """DIA-04: code that no functional edge reaches or leaves."""
-    out = edges.where(~F.col("type").isin(*STRUCTURAL)).select(F.col("source_id").alias("id"))
-    return _orphans(nodes.where(F.col("canonical_kind").isin(*kinds)), edges).join(out, "id", "left_anti").select("id", "name", "canonical_kind")
+    return nodes.where(F.col("canonical_kind").isin(*kinds)).join(_touched(edges), "id", "left_anti").select("id", "name", "canonical_kind")
 
 
 def broken_parents(nodes: DataFrame) -> DataFrame:

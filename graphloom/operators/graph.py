@@ -230,7 +230,7 @@ def strong_components(edges: DataFrame, ignore_types: Sequence[str] = ()) -> Dat
 
     Colouring: vertices without a way in or out are peeled off; the rest take the largest id that reaches them; a colour's
     component is what reaches its root within the colour, is taken out, and what is left starts over. The component's
-    name is its largest id. As in the reference, the self-loop test looks at all edge types.
+    name is its largest id. The self-loop test looks at all edge types.
     """
     loops = edges.where("source_id = target_id").select(F.col("source_id").alias("id")).distinct()
     kept = edges.where(~F.col("type").isin(*ignore_types)) if ignore_types else edges

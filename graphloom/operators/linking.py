@@ -10,7 +10,7 @@ from .search import first
 # Ecosystems that a target may name before "::".
 ECOSYSTEMS = ("global", "npm", "std", "pip", "gem", "mvn", "go", "crates")
 # Edges whose bare targets are resolved.
-RESOLVABLE = ("CALLS", "CONSTRUCTS", "EXTENDS", "IMPLEMENTS", "TYPE_REFERENCE", "ACCESSES")
+RESOLVABLE = ("CALLS", "CONSTRUCTS", "TYPE_REFERENCE", "ACCESSES")
 
 
 def resolve_bare_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import risk
@@ -114,11 +114,10 @@ def risk_composite(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return f.select("id", "is_fallback", F.round(own, 6).alias("fallback_risk"), F.round(total, 6).alias("risk"))
 
 
-def recommendation(confidence, ratio, complexity, tenure):
+def recommendation(confidence: Column, ratio: Column, complexity: Column, tenure: Column) -> Column:
     """MET-09: what to do with a suspected fallback."""
-    return (
-        F.when((confidence > 0.8) & (ratio < 0.1), "remove").when((confidence > 0.8) & (complexity > 10), "simplify").when((confidence > 0.6) & (tenure > 365), "review_legacy").when(ratio > 0.5, "promote").otherwise("monitor")
-    )
+    unused = (confidence > 0.8) & (ratio < 0.2) & (complexity > 15)
+    return F.when(unused, "remove").when((confidence > 0.7) & (tenure > 730), "review").when(ratio > 0.8, "monitor").otherwise("inspect")
 
 
 def similarity(edges: DataFrame, a: str, b: str) -> DataFrame:

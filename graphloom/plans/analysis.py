@@ -280,12 +280,13 @@ add("governance_context", activity(lambda n, e: governance.context(n)), f"""{W}
 add("advice", activity(lambda n, e: governance.advice(n, e).groupBy("level", "kind").agg(F.count(F.lit(1)).alias("n"))))
 
 # Diagnostics --------------------------------------------------------------------------------------------------------
-add("layer_census", containment(diagnostics.layer_census), """
-, t AS (SELECT DISTINCT target_id AS id FROM ce WHERE type NOT IN ('MEMBER_OF', 'CONTAINS')), s AS (SELECT canonical_kind, count(*) AS total, CAST(count_if(t.id IS NULL) AS BIGINT) AS orphans FROM cn LEFT JOIN t USING (id) GROUP BY 1)
-SELECT canonical_kind, total, orphans, round(100.0e0 * (total - orphans) / total, 2) AS health FROM s""", C)
-add("shadow_symbols", containment(lambda n, e: diagnostics.shadow_symbols(n.where("canonical_kind <> 'ATOM' AND canonical_rank > 5"))), """
- SELECT name, count(*) AS n, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM cn WHERE canonical_kind <> 'ATOM' AND canonical_rank > 5 GROUP BY 1 HAVING count(*) > 5 ORDER BY n DESC, name LIMIT 10""", ("cn",))
-add("orphan_hitlist", containment(diagnostics.orphan_list), " SELECT id, name, canonical_kind FROM cn WHERE canonical_kind IN ('BEHAVIOR', 'STRUCTURE') AND id NOT IN (SELECT target_id FROM ce WHERE type <> 'MEMBER_OF') AND id NOT IN (SELECT source_id FROM ce WHERE type <> 'MEMBER_OF')", C)
+_FUNC = "('CALLS', 'USES', 'IMPORTS', 'IMPLEMENTS', 'EXTENDS', 'TYPE_REFERENCE', 'CONSTRUCTS')"
+add("layer_census", containment(diagnostics.layer_census), f"""
+, t AS (SELECT source_id AS id FROM ce WHERE type IN {_FUNC} UNION SELECT target_id FROM ce WHERE type IN {_FUNC}), s AS (SELECT canonical_kind, canonical_rank, count(*) AS total, count(*) FILTER (t.id IS NULL) AS orphans FROM cn LEFT JOIN t USING (id) GROUP BY 1, 2)
+SELECT canonical_kind, canonical_rank, total, orphans, round(100.0e0 * (total - orphans) / total, 4) AS health FROM s""", C)
+add("shadow_symbols", containment(lambda n, e: diagnostics.shadow_symbols(n)), """
+ SELECT name, count(*) AS n, string_agg(DISTINCT file, ', ' ORDER BY file) AS files FROM cn WHERE canonical_kind IN ('STRUCTURE', 'BEHAVIOR') GROUP BY 1 HAVING count(*) > 5 ORDER BY n DESC, name LIMIT 10""", ("cn",))
+add("orphan_hitlist", containment(diagnostics.orphan_list), f" SELECT id, name, canonical_kind FROM cn WHERE canonical_kind IN ('BEHAVIOR', 'STRUCTURE') AND id NOT IN (SELECT target_id FROM ce WHERE type IN {_FUNC}) AND id NOT IN (SELECT source_id FROM ce WHERE type IN {_FUNC})", C)
 add("column_occupancy", containment(lambda n, e: metrics.column_occupancy(n, ["parent_id", "unit_id", "file", "structure_id"])), """
 , s AS (SELECT count(*) AS total, count(parent_id) AS a, count(unit_id) AS b, count(file) AS c, count(structure_id) AS d FROM cn)
 SELECT 'parent_id' AS column_name, a AS filled, total FROM s UNION ALL SELECT 'unit_id', b, total FROM s UNION ALL SELECT 'file', c, total FROM s UNION ALL SELECT 'structure_id', d, total FROM s""", ("cn",))

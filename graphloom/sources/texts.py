@@ -69,13 +69,13 @@ def requirements(files: DataFrame) -> DataFrame:
 
 
 def framework(name: Column, source: Column) -> Column:
-    """SRC-19: the first framework, in this order, that a source mentions; null if none."""
-    low = F.lower(source)
-    python, script = name.endswith(".py") | name.endswith(".txt"), name.rlike(r"\.(ts|tsx|js|jsx|json)$")
-    out = F.lit(None).cast("string")
-    for test, found in reversed([(python & low.contains("fastapi"), "fastapi"), (python & low.contains("flask"), "flask"), (python & low.contains("django"), "django"), (script & low.contains("next"), "next"), (script & low.contains("express"), "express")]):
-        out = F.when(test, found).otherwise(out)
-    return out
+    """SRC-19: the framework that a file (base name) declares or imports, the first in this order; null if none."""
+    deps = lambda key: F.coalesce(F.get_json_object(source, f"$.dependencies.{key}"), F.get_json_object(source, f"$.devDependencies.{key}")).isNotNull()
+    imports = lambda key: source.contains(f"from {key} import") | source.contains(f"import {key}")
+    listed = F.when(source.contains("fastapi"), "fastapi").when(source.contains("flask"), "flask").when(source.contains("django"), "django")
+    packaged = F.when(deps("next"), "nextjs").when(deps("express"), "express")
+    imported = F.when(imports("fastapi"), "fastapi").when(imports("flask"), "flask")
+    return F.when(name == "requirements.txt", listed).when(name == "package.json", packaged).when(name.endswith(".py"), imported)
 
 
 def glob_pattern(glob: str) -> str:

@@ -96,4 +96,11 @@ def test_change_risk(spark):
     row = total.first()
     assert row.symbols == 1 and abs(row.risk - 10 * (0.5 * 0.25 + 0.35 + 0.1 * 0.15)) < 1e-9
     assert top.count() == 1
-    assert one(spark, metrics.recommendation(F.lit(0.9), F.lit(0.05), F.lit(1), F.lit(1))) == "remove"
+    advise = lambda *x: one(spark, metrics.recommendation(*map(F.lit, x)))
+    assert [advise(0.9, 0.05, 20, 1), advise(0.9, 0.05, 1, 800), advise(0.1, 0.9, 1, 1), advise(0.1, 0.1, 1, 1)] == ["remove", "review", "monitor", "inspect"]
+
+
+def test_frameworks(spark):
+    rows = [("requirements.txt", "flask==2\ndjango"), ("package.json", '{"devDependencies": {"express": "1"}}'), ("package.json", "{"), ("a.py", "from fastapi import X"), ("b.py", "flask"), ("c.ts", "import express")]
+    df = spark.createDataFrame(rows, "name string, source string")
+    assert [r.v for r in df.select(texts.framework(F.col("name"), F.col("source")).alias("v")).collect()] == ["flask", "express", None, "fastapi", None, None]
