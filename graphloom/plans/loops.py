@@ -31,13 +31,17 @@ def _remove(spark: SparkSession, top: str) -> None:
         pass
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and its plan is a scan."""
-    spark = df.sparkSession
-    top = f"{shared_dir(spark)}/graphloom-loops-{spark.sparkContext.applicationId}"
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    top = f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
     if top not in _made:
         _made.add(top)
         atexit.register(_remove, spark, top)
-    path = f"{top}/{uuid.uuid4().hex}"
+    return f"{top}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str = "state") -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, its plan is a scan, and it survives lost executors."""
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
