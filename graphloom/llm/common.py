@@ -2,65 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: ASCII white space; bytes.split() and bytes.strip() use exactly these.
-BLANK = " \t\n\x0b\x0c\r"
+from ..plans.loops import scratch, written as saved
+
+__all__ = ["arrow_map", "field_type", "pieces", "replaced", "saved", "scratch", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None)
-    if where is None:
-        where = sc.getCheckpointDir()
-    if where is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(where)
-    return where
-
-
-_made: set[str] = set()
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    top = f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
-    if top not in _made:
-        _made.add(top)
-        atexit.register(_remove, spark, top)
-    return f"{top}/{what}-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, top: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has already gone; the shared folder's owner clears it
-        pass
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """df written once as a table in the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None where null."""
     return column.cast(pa.binary()).to_pylist()
@@ -96,10 +52,6 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def cast_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
