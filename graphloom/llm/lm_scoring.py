@@ -1,10 +1,9 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score every document.
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space. All documents are counted for the background model,
-those that are marked for the target model. The models are matched: one vocabulary (words with at least ``word_share`` of
-all tokens, the rest is one unknown word), one set of bigrams (those with at least ``pair_share`` of all tokens or of the
-target's), the same smoothing. Shares, not ranks, decide, so the rule is the same at every size and the sets are proven
-to hold at most 1 / word_share words and 2 / pair_share bigrams: they are sent to every worker.
+those that are marked for the target model. The models are matched: one vocabulary, one set of bigrams, the same
+smoothing. Every word and every bigram that occurs is kept, at every size. On request, words under ``word_share`` of all
+tokens become one unknown word, and bigrams under ``pair_share`` of all tokens and of the target's are left to smoothing.
 
     p(w) = (c(w) + 1) / (N + V)        p(w | v) = max(c(v w) - d, 0) / c(v) + left(v) p(w)
 
@@ -12,12 +11,15 @@ where c(v) counts v as a first word and left(v) is the mass that the kept bigram
 the means of -log p over its tokens, the first one after a boundary; the score is loss_target - loss_background: the
 lower, the closer to the target.
 
-How it scales: two counting passes, each pre-aggregated in the worker and again before the shuffle, and one scoring pass
-without a shuffle. What is gathered grows with the corpus; what is sent out is bounded.
+How it scales: one counting pass, pre-aggregated in the worker, gives all bigrams; counts of words follow from them, and
+joins give each bigram's two losses, a table that grows with the corpus and is never gathered. The scoring pass sums
+the bigrams of each document and sends them, packed, to the part of that table that holds them, where they become
+partial sums by document. Bigrams with at least ``_HOT`` of all tokens (at most 1 / _HOT rows) are sent to the workers
+instead, so that none of them fills a part: which way a bigram takes doesn't change its loss.
 
 Defined results: null, empty and blank texts have no tokens, null losses and score 0; documents with a null mark are
 background only; repeated rows are counted and scored one by one; other columns are not read; an empty table gives an
-empty result. Without target documents the target model is uniform.
+empty result. Without target documents the target model is uniform. Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_map, field_type, pieces, saved, texts
+from .common import pieces, saved, texts
 
 _REMEMBERED = 1 << 20
 _FLUSH = 1 << 19
+_HOT = 2e-6
+_PART = 4_000_000  # tokens for each part of the table of losses
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(word: bytes) -> int:
@@ -68,57 +72,72 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Index(dict):
-    """word -> its number in the vocabulary; 1 is the unknown word, 0 the boundary."""
+    """word -> its hash; 1 is a word out of the vocabulary (if there is one), 0 the boundary."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+    def __init__(self, vocabulary: np.ndarray | None):
+        self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
         h = _hash(word)
-        i = int(np.searchsorted(self.hashes, h))
-        found = self[word] = i + 2 if i < len(self.hashes) and self.hashes[i] == h else 1
-        return found
-
-    def pairs(self, data: bytes) -> np.ndarray:
-        """Codes of a document's bigrams: its words behind the ones before them."""
+        if self.vocabulary is not None:
+            i = int(np.searchsorted(self.vocabulary, h))
+            h = h if i < len(self.vocabulary) and self.vocabulary[i] == h else 1
+        self[word] = h
+        return h
+
+    def words(self, data: bytes) -> np.ndarray:
+        """A document's words."""
         if len(self) > _REMEMBERED:
             self.clear()
         words = data.lower().split()
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.concatenate([[0], ids[:-1]]) * (len(self.hashes) + 2) + ids if len(ids) else ids
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _codes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (v.view(np.uint64) * _MIX + w.view(np.uint64)).view(np.int64)
+
+
+def _behind(words: np.ndarray) -> np.ndarray:
+    """The words before the words of one document."""
+    return np.concatenate([np.zeros(1, np.int64), words[:-1]])
+
+
+def _parts(codes: np.ndarray, parts: int) -> np.ndarray:
+    return ((codes.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 _indexes: dict[str, _Index] = {}
 
 
-def _index(number: str, hashes: np.ndarray) -> _Index:
-    """One index a broadcast and worker."""
+def _index(number: str, vocabulary: np.ndarray | None) -> _Index:
+    """One index a query and worker."""
     if number not in _indexes:
         _indexes.clear()
-        _indexes[number] = _Index(hashes)
+        _indexes[number] = _Index(vocabulary)
     return _indexes[number]
 
 
 def _count_pairs(vocabulary, number: str):
+    """(word before, word, background count, target count), summed over what a task holds at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(number, vocabulary.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            codes = np.concatenate([h[0] for h in held])
-            marks = np.concatenate([h[1] for h in held])
-            keys, where, n = np.unique(codes, return_inverse=True, return_counts=True)
-            target = np.bincount(where[marks], minlength=len(keys)).astype(np.int64)
+            v, w, marks = (np.concatenate([h[k] for h in held]) for k in range(3))
+            _, at, where, n = np.unique(_codes(v, w), return_index=True, return_inverse=True, return_counts=True)
+            target = np.bincount(where[marks], minlength=len(at)).astype(np.int64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(target, pa.int64())], names=["key", "b", "t"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (v[at], w[at], n.astype(np.int64), target)], names=["v", "w", "b", "t"])
 
         size = 0
         for batch in pieces(batches, "text"):
             for t, mark in zip(texts(batch.column("text")), batch.column("mark").to_pylist(), strict=True):
-                codes = index.pairs(t or b"")
-                if len(codes):
-                    held.append((codes, np.full(len(codes), bool(mark))))
-                    size += len(codes)
+                words = index.words(t or b"")
+                if len(words):
+                    held.append((_behind(words), words, np.full(len(words), bool(mark))))
+                    size += len(words)
             if size > 8 * _FLUSH:
                 yield out()
                 size = 0
@@ -128,84 +147,135 @@ def _count_pairs(vocabulary, number: str):
     return run
 
 
-class Model:
-    """-log p of bigram codes under one side's counts."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, unigrams: np.ndarray, firsts: np.ndarray, discount: float):
-        v = len(unigrams)
-        words = unigrams.copy()
-        words[0] = 0  # nothing is ever followed by the boundary
-        self.p = (words + 1.0) / (words.sum() + v)
-        before = codes // v
-        share = np.maximum(counts - discount, 0) / np.maximum(firsts[before], 1)
-        self.left = np.maximum(1.0 - np.bincount(before, share, minlength=v), 1e-9)
-        self.codes, self.share, self.size = codes, share, v
-
-    def losses(self, codes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        share = np.where(self.codes[at] == codes, self.share[at], 0.0) if len(self.codes) else np.zeros(len(codes))
-        return -np.log(share + self.left[codes // self.size] * self.p[codes % self.size])
-
-
-def models(marked: DataFrame, word_share: float, pair_share: float, discount: float) -> tuple[np.ndarray, Model, Model]:
-    """(vocabulary's hashes, target model, background model) from all rows of marked (text, mark)."""
-    spark = marked.sparkSession
-    kind = "key long, b long, t long"
-    words = marked.mapInArrow(_count_words, kind).groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    total, of_target = marked.mapInArrow(_totals, "b long, t long").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    common = words.where(F.col("b") >= max(1.0, word_share * total)).toArrow()  # at most 1 / word_share rows
-    order = np.argsort(common.column("key").to_numpy())
-    hashes = common.column("key").to_numpy()[order].astype(np.int64)
-    v = len(hashes) + 2
-    counted = marked.mapInArrow(_count_pairs(spark.sparkContext.broadcast(hashes), uuid.uuid4().hex), kind)
-    pairs = saved(counted.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigrams")
-    kept = pairs.where((F.col("b") >= max(1.0, pair_share * total)) | (F.col("t") >= max(1.0, pair_share * of_target))).toArrow()  # at most 2 / pair_share rows
-    # unknown words, and how often each word comes first, follow from sums over all pairs: one row a word
-    firsts = pairs.groupBy(F.floor(F.col("key") / v).cast("long").alias("key")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()
-    by = np.argsort(kept.column("key").to_numpy())
-    codes = kept.column("key").to_numpy()[by].astype(np.int64)
-    sides = []
-    for side, n in (("t", of_target), ("b", total)):
-        unigrams = np.zeros(v)
-        unigrams[2:] = common.column(side).to_numpy()[order]
-        unigrams[1] = n - unigrams[2:].sum()
-        first = np.zeros(v)
-        first[firsts.column("key").to_numpy()] = firsts.column(side).to_numpy()
-        sides.append(Model(codes, kept.column(side).to_numpy()[by].astype(np.float64), unigrams, first, discount))
-    return hashes, sides[0], sides[1]
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every = target = 0
-    for batch in batches:
-        for t, mark in zip(texts(batch.column("text")), batch.column("mark").to_pylist(), strict=True):
-            n = len((t or b"").split())
-            every, target = every + n, target + (n if mark else 0)
-    yield pa.RecordBatch.from_arrays([pa.array([every], pa.int64()), pa.array([target], pa.int64())], names=["b", "t"])
+def _vocabulary(marked: DataFrame, word_share: float) -> np.ndarray | None:
+    """Sorted hashes of the words with at least word_share of all tokens (at most 1 / word_share); None: all words."""
+    if not word_share:
+        return None
+    words = saved(marked.mapInArrow(_count_words, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b")), "words")
+    total = words.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    return np.sort(words.where(F.col("b") >= max(1.0, word_share * total)).toArrow().column("key").to_numpy().astype(np.int64))
+
+
+def losses(marked: DataFrame, vocabulary, number: str, pair_share: float, discount: float) -> tuple[DataFrame, int]:
+    """((code, b, lt, lb) of every bigram of marked (text, mark): its background count and its loss on both sides; all tokens)."""
+    counted = marked.mapInArrow(_count_pairs(vocabulary, number), "v long, w long, b long, t long")
+    pairs = saved(counted.groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigrams")
+    unigrams = saved(pairs.groupBy("w").agg(F.sum("b").alias("ub"), F.sum("t").alias("ut")), "unigrams")
+    total, of_target, size = unigrams.agg(F.coalesce(F.sum("ub"), F.lit(0)), F.coalesce(F.sum("ut"), F.lit(0)), F.count(F.lit(1))).first()
+    size = 2 + (size if vocabulary.value is None else len(vocabulary.value))  # the boundary and the unknown word count
+    kept = (F.col("b") >= max(1.0, pair_share * total)) | (F.col("t") >= max(1.0, pair_share * of_target))
+    pairs = pairs.withColumns({f"s{s}": F.when(kept, F.greatest(F.col(s) - F.lit(discount), F.lit(0.0))).otherwise(F.lit(0.0)) for s in "bt"})
+    firsts = saved(pairs.groupBy("v").agg(*(F.sum(s).alias(f"f{s}") for s in "bt"), *(F.sum(f"s{s}").alias(f"k{s}") for s in "bt")), "firsts")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n).to_numpy() for n in batch.schema.names}
+            out = []
+            for s, n in (("t", of_target), ("b", total)):
+                first = np.maximum(c[f"f{s}"], 1)
+                left = np.maximum(1.0 - c[f"k{s}"] / first, 1e-9)
+                out.append(-np.log(c[f"s{s}"] / first + left * (c[f"u{s}"] + 1.0) / (n + size)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_codes(c["v"], c["w"]), c["b"], *out)], names=["code", "b", "lt", "lb"])
+
+    return saved(pairs.join(firsts, "v").join(unigrams, "w").mapInArrow(work, "code long, b long, lt double, lb double"), "losses"), total
+
+
+def _look_up(codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where, whether) the codes stand in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return at, keys[at] == codes
+
 
+_PACKED = "part long, docs binary, at binary, codes binary, n binary, lt binary, lb binary"
 
-def score(docs: DataFrame, target: DataFrame, word_share: float = 1e-5, pair_share: float = 2e-6, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _requests(vocabulary, number: str, sent, parts: int):
+    """One row a piece with its documents' tokens and hot sums (part -1), and one for each part with the bigrams that are looked up there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(number, vocabulary.value)
+        keys, hot_t, hot_b = sent.value
+        for batch in pieces(batches, "text"):
+            docs = batch.column("row").to_numpy()
+            found = [index.words(t or b"") for t in texts(batch.column("text"))]
+            n = np.array([len(w) for w in found], np.int64)
+            codes = np.concatenate([_codes(_behind(w), w) for w in found if len(w)] or [np.zeros(0, np.int64)])
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            at, hot = _look_up(codes, keys)
+            sums = [np.bincount(doc[hot], x[at[hot]], minlength=len(n)).astype(np.float64) for x in (hot_t, hot_b)]
+            rows = [(-1, docs, n[:0], n[:0], n, *sums)]
+            codes, doc = codes[~hot], doc[~hot]
+            part = _parts(codes, parts)
+            order = np.lexsort((doc, codes, part))
+            codes, doc, part = codes[order], doc[order], part[order]
+            begins = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])]) if len(codes) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[begins, len(codes)]).astype(np.int32)
+            codes, doc, part = codes[begins], doc[begins], part[begins]
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own, place = np.unique(doc[a:b], return_inverse=True)
+                rows.append((int(part[a]), docs[own], place.astype(np.int32), codes[a:b], times[a:b], n[:0], n[:0]))
+            binary = [pa.array([x.tobytes() for x in c], pa.binary()) for c in list(zip(*rows, strict=True))[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *binary], names=["part", "docs", "at", "codes", "n", "lt", "lb"])
+
+    return run
+
+
+_SUMS = "row long, n long, lt double, lb double"
+
+
+def _sums(docs: np.ndarray, n: np.ndarray, lt: np.ndarray, lb: np.ndarray) -> list[pa.Array]:
+    return [pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(lt, pa.float64()), pa.array(lb, pa.float64())]
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for docs, n, lt, lb in zip(*(batch.column(c).to_pylist() for c in ("docs", "n", "lt", "lb")), strict=True):
+            yield pa.RecordBatch.from_arrays(_sums(np.frombuffer(docs, np.int64), np.frombuffer(n, np.int64), np.frombuffer(lt), np.frombuffer(lb)), names=["row", "n", "lt", "lb"])
+
+
+def _answers(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """Partial sums of a part's documents; every bigram that is asked for has been counted."""
+    order = np.argsort(table.column("code").to_numpy())
+    keys, lt, lb = (table.column(c).to_numpy()[order] for c in ("code", "lt", "lb"))
+    out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+    for docs, at, codes, n in zip(*(asked.column(c).to_pylist() for c in ("docs", "at", "codes", "n")), strict=True):
+        docs, at, codes, n = np.frombuffer(docs, np.int64), np.frombuffer(at, np.int32), np.frombuffer(codes, np.int64), np.frombuffer(n, np.int32)
+        i, found = _look_up(codes, keys)
+        if not found.all():
+            raise AssertionError("a bigram of a document was not counted")
+        out.append((docs, *(np.bincount(at, n * x[i], minlength=len(docs)) for x in (lt, lb))))
+    docs, lt, lb = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table(_sums(docs, np.zeros(len(docs), np.int64), lt, lb), names=["row", "n", "lt", "lb"])
+
+
+def score(docs: DataFrame, target: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, loss_target, loss_background, score) of every document. target: the ids of the target's documents."""
     marks = target.select(F.col(id_col).alias("__gl_id")).where("__gl_id IS NOT NULL").distinct().withColumn("mark", F.lit(True))
-    # a shuffled join at every size; the marked texts are written once, as three passes read them
+    # a shuffled join at every size; the marked texts are written once with a number, as two passes read them
     joined = docs.select(F.col(id_col).alias("__gl_id"), F.col(text_col).alias("text")).join(marks.hint("merge"), "__gl_id", "left")
-    marked = saved(joined.select("text", F.coalesce("mark", F.lit(False)).alias("mark")), "marked-texts")
+    marked = saved(joined.select(F.monotonically_increasing_id().alias("row"), "__gl_id", "text", F.coalesce("mark", F.lit(False)).alias("mark")), "marked-texts")
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(models(marked, word_share, pair_share, discount))
-    schema = T.StructType([T.StructField(id_col, field_type(docs, id_col)), T.StructField("n_tokens", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("loss_target", "loss_background", "score")])
-
     number = uuid.uuid4().hex
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, a, b = sent.value
-        index = _index(number, hashes)
-        codes = [index.pairs(t or b"") for t in texts(batch.column(1))]
-        n = np.array([len(c) for c in codes], np.int64)
-        flat = np.concatenate(codes).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        empty = n == 0
-        means = [np.bincount(row, m.losses(flat), minlength=len(n)) / np.maximum(n, 1) for m in (a, b)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(m, mask=empty) for m in means), pa.array(means[0] - means[1])], names=schema.names)
-
-    return arrow_map(docs.select(id_col, text_col), work, schema, text_col)
+    vocabulary = spark.sparkContext.broadcast(_vocabulary(marked.select("text", "mark"), word_share))
+    table, total = losses(marked.select("text", "mark"), vocabulary, number, pair_share, discount)
+    is_hot = F.col("b") >= max(1.0, _HOT * total)
+    hot = table.where(is_hot).toArrow()  # at most 1 / _HOT rows
+    order = np.argsort(hot.column("code").to_numpy())
+    sent = spark.sparkContext.broadcast(tuple(hot.column(c).to_numpy()[order] for c in ("code", "lt", "lb")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _PART))
+    asked = saved(marked.select("row", "text").mapInArrow(_requests(vocabulary, number, sent, parts), _PACKED), "requests")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_parts(batch.column(0).to_numpy(), parts)), *batch.columns], names=["part", "code", "lt", "lb"])
+
+    cold = table.where(~is_hot).select("code", "lt", "lb").mapInArrow(placed, "part long, code long, lt double, lb double")
+    answers = asked.where("part >= 0").select("part", "docs", "at", "codes", "n").groupBy("part").cogroup(cold.groupBy("part")).applyInArrow(_answers, _SUMS)
+    heads = asked.where("part = -1").select("docs", "n", "lt", "lb").mapInArrow(_heads, _SUMS)
+    sums = heads.unionByName(answers).groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    found = marked.select("row", F.col("__gl_id").alias(id_col)).join(sums, "row").select(id_col, "n_tokens", mean("lt").alias("loss_target"), mean("lb").alias("loss_background"))
+    return found.withColumn("score", F.coalesce(F.col("loss_target") - F.col("loss_background"), F.lit(0.0)))

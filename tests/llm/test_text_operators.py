@@ -339,6 +339,32 @@ def test_lm_scores_against_brute_force(spark):
     assert mean(1) < mean(0)
 
 
+def test_lm_keeps_every_word_and_bigram(spark):
+    """Over 500,000 tokens a word or bigram that occurs once still counts, whichever way its loss is looked up."""
+    r = random.Random(8)
+    docs = [(i, " ".join(f"w{min(int(r.paretovariate(0.7)), 400_000)}" for _ in range(1300))) for i in range(420)]
+    target = {i for i in range(420) if i % 3 == 0}
+    split = {i: t.encode().split() for i, t in docs}
+    side = {"b": list(split), "t": sorted(target)}
+    uni = {s: collections.Counter(w for i in side[s] for w in split[i]) for s in "bt"}
+    pairs = {s: collections.Counter(p for i in side[s] for p in zip([0, *split[i]], split[i], strict=False)) for s in "bt"}
+    assert sum(uni["b"].values()) > 500_000 and min(uni["b"].values()) == 1
+    first, mass = {s: collections.Counter() for s in "bt"}, {s: collections.Counter() for s in "bt"}
+    for s in "bt":
+        for (a, _), n in pairs[s].items():
+            first[s][a] += n
+            mass[s][a] += max(n - 0.75, 0)
+
+    def loss(s, a, b):
+        f = max(first[s][a], 1)
+        return -np.log(max(pairs[s][a, b] - 0.75, 0) / f + max(1 - mass[s][a] / f, 1e-9) * (uni[s][b] + 1) / (sum(uni[s].values()) + len(uni["b"]) + 2))
+
+    got = {x.doc_id: x for x in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    for i in range(0, 420, 14):
+        want = [np.mean([loss(s, a, b) for a, b in zip([0, *split[i]], split[i], strict=False)]) for s in "tb"]
+        assert np.allclose((got[i].loss_target, got[i].loss_background), want)
+
+
 def test_lm_of_awkward_tables(awkward, nothing):
     assert lm_scoring.score(awkward, awkward.where("doc_id = 1")).count() == awkward.count()
     assert lm_scoring.score(nothing, nothing).count() == 0
