@@ -167,6 +167,27 @@ def test_pipeline_against_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_returns_the_order_of_the_mixture(spark):
+    import corpus_pipeline
+
+    from graphloom.llm import mixing
+
+    got = corpus_pipeline.run(spark, DATA).orderBy("position").collect()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.createDataFrame([(r.doc_id,) for r in got], "doc_id long"), "doc_id")
+    want = mixing.mix(docs, power=0.5, block=16, slots=500).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(got)))
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+
+
+def test_places_follow_part_files(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = spark.range(100).repartitionByRange(5, F.col("id").desc()).sortWithinPartitions(F.col("id").desc())
+    rows.write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "rows"))
+    got = corpus_pipeline.placed(spark.read.parquet(str(tmp_path / "rows"))).orderBy("position").collect()
+    assert [(r.position, r.id) for r in got] == [(i, 99 - i) for i in range(100)]
+
+
 def test_stages_keep_the_columns(spark, awkward, nothing):
     import corpus_pipeline
 
