@@ -32,7 +32,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -262,20 +262,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def group(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits) and component_id."""
-    prints = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
+def _components(prints: DataFrame, max_bits: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """((fp, root) of every fingerprint, (root, component_id): the smallest id of each component)."""
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
     roots = components(links(distinct.select("fp"), max_bits))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = saved(named, "roots")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.select("fp", "root"), named.groupBy("root").agg(F.min("first").alias("component_id"))
+
+
+def group(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, fingerprint (16 hex digits) and component_id."""
+    prints = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    named, least = _components(prints, max_bits, id_col)
     ids = named.join(least, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which one of each component stays: the one with the smallest id (null ids stay)."""
-    found = group(docs, width, max_bits, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gl_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gl_id"], "left_anti")
+    """The documents, with all their columns, of which one row of each component stays: one with the smallest id.
+
+    Null ids come last; of rows with one id the text's hash decides, of rows with one id and text the other columns' hash.
+    """
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("__gl_doc"), F.col(text_col).alias("text"))
+    prints = saved(fingerprints(rows, width, "__gl_doc", "text"), "fingerprints")
+    kept = _components(prints, max_bits, "__gl_doc")[1].select(F.col("component_id.key").alias("__gl_key"))
+    found = docs.withColumn("__gl_key", key).join(kept, "__gl_key", "left_semi")
+    repeat = F.row_number().over(Window.partitionBy("__gl_key").orderBy(F.xxhash64(*docs.columns)))
+    return found.withColumn("__gl_repeat", repeat).where("__gl_repeat = 1").select(*docs.columns)

@@ -184,6 +184,13 @@ def test_dedup_keeps_the_smallest_id(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [3, 4, 9]
 
 
+def test_dedup_of_repeated_null_and_clashing_ids(spark):
+    text, other, third = "one two three four five six seven eight nine ten", "a wholly unlike text with many other words in it", "red green blue cyan pink gold grey teal plum lime"
+    rows = [(1, text), (1, text), (2, text), (2, other), (2, other), (None, text), (None, third), (None, third), (9, None), (9, "")]
+    out = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text or None) for r in out) == {(1, text): 1, (2, other): 1, (None, third): 1, (9, None): 1}
+
+
 # Mixing -------------------------------------------------------------------------------------------------------------
 def test_mixture_deviates_less_than_a_block(spark):
     sizes = {"a": 1500, "b": 300, "c": 40, None: 60}
