@@ -1,281 +1,287 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score every document.
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space. All documents are counted for the background model,
-those that are marked for the target model. The models are matched: one vocabulary, one set of bigrams, the same
-smoothing. Every word and every bigram that occurs is kept, at every size. On request, words under ``word_share`` of all
-tokens become one unknown word, and bigrams under ``pair_share`` of all tokens and of the target's are left to smoothing.
-
-    p(w) = (c(w) + 1) / (N + V)        p(w | v) = max(c(v w) - d, 0) / c(v) + left(v) p(w)
-
-where c(v) counts v as a first word and left(v) is the mass that the kept bigrams of v leave. A document's losses are
-the means of -log p over its tokens, the first one after a boundary; the score is loss_target - loss_background: the
-lower, the closer to the target.
-
-How it scales: one counting pass, pre-aggregated in the worker, gives all bigrams; counts of words follow from them, and
-joins give each bigram's two losses, a table that grows with the corpus and is never gathered. The scoring pass sums
-the bigrams of each document and sends them, packed, to the part of that table that holds them, where they become
-partial sums by document. Bigrams with at least ``_HOT`` of all tokens (at most 1 / _HOT rows) are sent to the workers
-instead, so that none of them fills a part: which way a bigram takes doesn't change its loss.
-
-Defined results: null, empty and blank texts have no tokens, null losses and score 0; documents with a null mark are
-background only; repeated rows are counted and scored one by one; other columns are not read; an empty table gives an
-empty result. Without target documents the target model is uniform. Words and bigrams are told apart by 64-bit hashes.
+those that are marked for the target model. A document is its words and an end, read after a beginning. Both models are
+matched: the same vocabulary with the same base frequencies g(w) (each word's share of all documents' events), the same
+two orders, the same prior weight m, and for each the counts u, c of its own documents (N events in all):
+
+    p1(w) = (u(w) + m g(w)) / (N + m)        p(w | v) = (c(v w) + m p1(w)) / (c(v) + m)
+
+Every word and every bigram that occurs counts, at every size. Each document is left out of the counts that score it
+(u, c and N, in both models; in the target model if it is marked), so no model has seen what it scores. A document's
+losses are the means of -log p over its words and its end; the score is loss_target - loss_background: the lower, the
+closer to the target.
+
+How it scales. Counts are asked for by batches of documents and answered by hash ranges:
+1. A batch counts its words and bigrams and sends each different one once, as a 64-bit hash, to the part that owns the
+   hash's range: sorted, as differences, with the batch's own counts. The batch itself travels as numbers of its words.
+2. A part sums the counts of each hash over all batches and answers every batch in the order in which it asked.
+3. A batch, met by its answers, computes its documents' losses.
+A hot word or bigram is one entry a batch, so no part grows with it; a part has about ``_PART`` events, a batch
+``_BATCH`` bytes of text, and nothing is gathered but four totals. Marks are sent to the scan if there are at most
+``_SENT`` of them; beyond, they are joined by a shuffle and the marked texts are written once.
+
+Defined results: null, empty and blank texts have no words, null losses and score 0, and count for no model; documents
+with a null id are background only; repeated rows are counted and scored one by one (and are each other's evidence);
+other columns are not read; an empty table gives an empty result. Without target documents the target model is g.
+docs has to give the same rows in the same order when a lost part is read again, as tables do.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import pieces, saved, texts
-
-_REMEMBERED = 1 << 20
-_FLUSH = 1 << 19
-_HOT = 2e-6
-_PART = 4_000_000  # tokens for each part of the table of losses
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, background count, target count), summed over what a task holds at a time."""
-    both = (Counter(), Counter())
-
-    def out() -> pa.RecordBatch:
-        every, target = both
-        words = list(every)
-        batch = pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in words], pa.int64()), pa.array(list(every.values()), pa.int64()), pa.array([target.get(w, 0) for w in words], pa.int64())], names=["key", "b", "t"])
-        every.clear()
-        target.clear()
-        return batch
-
-    for batch in pieces(batches, "text"):
-        for t, mark in zip(texts(batch.column("text")), batch.column("mark").to_pylist(), strict=True):
-            words = (t or b"").lower().split()
-            both[0].update(words)
-            if mark:
-                both[1].update(words)
-        if len(both[0]) > _FLUSH:
-            yield out()
-    yield out()
-
-
-class _Index(dict):
-    """word -> its hash; 1 is a word out of the vocabulary (if there is one), 0 the boundary."""
-
-    def __init__(self, vocabulary: np.ndarray | None):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> int:
-        h = _hash(word)
-        if self.vocabulary is not None:
-            i = int(np.searchsorted(self.vocabulary, h))
-            h = h if i < len(self.vocabulary) and self.vocabulary[i] == h else 1
-        self[word] = h
-        return h
-
-    def words(self, data: bytes) -> np.ndarray:
-        """A document's words."""
-        if len(self) > _REMEMBERED:
-            self.clear()
-        words = data.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def _codes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (v.view(np.uint64) * _MIX + w.view(np.uint64)).view(np.int64)
-
-
-def _behind(words: np.ndarray) -> np.ndarray:
-    """The words before the words of one document."""
-    return np.concatenate([np.zeros(1, np.int64), words[:-1]])
-
-
-def _parts(codes: np.ndarray, parts: int) -> np.ndarray:
-    return ((codes.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-
-
-_indexes: dict[str, _Index] = {}
-
-
-def _index(number: str, vocabulary: np.ndarray | None) -> _Index:
-    """One index a query and worker."""
-    if number not in _indexes:
-        _indexes.clear()
-        _indexes[number] = _Index(vocabulary)
-    return _indexes[number]
-
-
-def _count_pairs(vocabulary, number: str):
-    """(word before, word, background count, target count), summed over what a task holds at a time."""
+from pyspark.sql import types as T
+
+from .common import field_type, pieces, saved
+
+_BATCH = 8 << 20
+_PART = 4_000_000
+_SENT = 1 << 20
+_BODY = -1
+_EVENTS = r"[^\x20\x09-\x0D]+"
+_BOUNDARIES = np.array([1, 2], np.uint64)  # the end, the beginning
+_M1, _M2, _33, _29, _32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(33), np.uint64(29), np.uint64(32)
+_ZSTD = pa.Codec("zstd")
+
+
+def _pack_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences of as many bytes as the largest needs."""
+    steps = np.diff(hashes)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack_hashes(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    wide = np.zeros((len(steps), 8), np.uint8)
+    wide[:, : data[0]] = steps
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), wide.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of 0 or more, by planes of bytes, compressed."""
+    out = [np.array([len(columns), *map(len, columns)], np.int64).tobytes()]
+    for x in columns:
+        x = x.astype(np.int64)
+        width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+        out.append(bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    data = b"".join(out)
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    data = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    count = int.from_bytes(data[:8], "little")
+    sizes = np.frombuffer(data, np.int64, count, 8).tolist()
+    at, columns = 8 * (count + 1), []
+    for n in sizes:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, : data[at]] = np.frombuffer(data, np.uint8, n * data[at], at + 1).reshape(data[at], n).T
+        at += 1 + n * data[at]
+        columns.append(wide.view(np.int64).ravel())
+    return columns
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each different word, commonest first; each word's number; how many words each text has)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string(), safe=False), "")))
+    coded = split.flatten().dictionary_encode()
+    kinds = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, kinds), np.uint64, len(kinds))
+    words = coded.indices.to_numpy().astype(np.int64)
+    times = np.bincount(words, minlength=len(kinds))
+    blank = kinds.index(b"") if b"" in kinds else -1  # what is before a text's first white space or behind its last
+    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+    if blank >= 0:
+        keep = words != blank
+        offsets, words, times[blank] = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])[offsets], words[keep], 0
+    order = np.argsort(-times, kind="stable")[: len(kinds) - (blank >= 0)]
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(order))
+    return hashes[order], place[words], np.diff(offsets)
+
+
+class _Grams:
+    """A batch's events: each word after the one before it, and each text's end."""
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, lengths: np.ndarray):
+        kinds = len(hashes)
+        full = lengths > 0
+        ends = np.cumsum(lengths)[full]
+        self.doc = np.repeat(np.arange(len(lengths)), np.where(full, lengths + 1, 0))
+        self.word = np.insert(words, ends, kinds)
+        self.before = np.insert(words, ends - lengths[full], kinds + 1)
+        pairs, self.pair = np.unique(self.before * (kinds + 2) + self.word, return_inverse=True)
+        every = np.concatenate([hashes, _BOUNDARIES])
+        mixed = every[pairs // (kinds + 2)] * _M1 + every[pairs % (kinds + 2)]
+        mixed = (mixed ^ mixed >> _33) * _M2
+        self.kinds, self.pairs = kinds, len(pairs)
+        codes = np.concatenate([hashes, mixed ^ mixed >> _29])  # of words, then of bigrams
+        self.order = np.argsort(codes)
+        self.codes = codes[self.order]
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """How often each code occurs in the batch, events counted by weight."""
+        words = np.bincount(self.word, weight, minlength=self.kinds + 2)[: self.kinds]
+        return np.concatenate([words, np.bincount(self.pair, weight, minlength=self.pairs)])[self.order].astype(np.int64)
+
+    def own(self, of: np.ndarray, kinds: int) -> np.ndarray:
+        """How often each event's word or bigram occurs in its document."""
+        _, at, n = np.unique(self.doc * kinds + of, return_inverse=True, return_counts=True)
+        return n[at]
+
+
+def _row_type(id_type: T.DataType) -> T.StructType:
+    fields = ("to", T.IntegerType()), ("batch", T.LongType()), ("part", T.LongType()), ("codes", T.BinaryType()), ("counts", T.BinaryType()), ("ids", T.ArrayType(id_type))
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def _rows(rows: list[tuple], ids: list[pa.Array | None], like: pa.DataType) -> pa.RecordBatch:
+    to, batch, part, codes, counts = (list(c) for c in zip(*rows, strict=True))
+    sizes = [0 if i is None else len(i) for i in ids]
+    flat = pa.concat_arrays([i for i in ids if i is not None]) if any(i is not None for i in ids) else pa.array([], like)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+    arrays = [pa.array(to, pa.int32()), pa.array(batch, pa.int64()), pa.array(part, pa.int64()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary()), lists]
+    return pa.RecordBatch.from_arrays(arrays, names=["to", "batch", "part", "codes", "counts", "ids"])
+
+
+def _ask(parts: int):
+    """Of each batch: its body, and what it asks of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(number, vocabulary.value)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            v, w, marks = (np.concatenate([h[k] for h in held]) for k in range(3))
-            _, at, where, n = np.unique(_codes(v, w), return_index=True, return_inverse=True, return_counts=True)
-            target = np.bincount(where[marks], minlength=len(at)).astype(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (v[at], w[at], n.astype(np.int64), target)], names=["v", "w", "b", "t"])
-
-        size = 0
-        for batch in pieces(batches, "text"):
-            for t, mark in zip(texts(batch.column("text")), batch.column("mark").to_pylist(), strict=True):
-                words = index.words(t or b"")
-                if len(words):
-                    held.append((_behind(words), words, np.full(len(words), bool(mark))))
-                    size += len(words)
-            if size > 8 * _FLUSH:
-                yield out()
-                size = 0
-        if held:
-            yield out()
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(pieces(batches, "text", _BATCH)):
+            ids = batch.column("id")
+            hashes, words, lengths = _read(batch.column("text"))
+            marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
+            name, home = task << 32 | number, (task + 7919 * number) % parts
+            yield _rows([(home, name, _BODY, hashes.tobytes(), _pack(words, lengths, marks))], [ids], ids.type)
+            if not len(words):
+                continue
+            grams = _Grams(hashes, words, lengths)
+            every, target = grams.counts(np.ones(len(grams.doc))), grams.counts(marks[grams.doc])
+            part = ((grams.codes >> _32) * np.uint64(parts) >> _32).astype(np.int64)
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            asked = [(int(part[a]), name, home, _pack_hashes(grams.codes[a:b]), _pack(every[a:b], target[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for a in range(0, len(asked), 64):
+                yield _rows(asked[a : a + 64], [None] * len(asked[a : a + 64]), ids.type)
 
     return run
 
 
-def _vocabulary(marked: DataFrame, word_share: float) -> np.ndarray | None:
-    """Sorted hashes of the words with at least word_share of all tokens (at most 1 / word_share); None: all words."""
-    if not word_share:
-        return None
-    words = saved(marked.mapInArrow(_count_words, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b")), "words")
-    total = words.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
-    return np.sort(words.where(F.col("b") >= max(1.0, word_share * total)).toArrow().column("key").to_numpy().astype(np.int64))
-
-
-def losses(marked: DataFrame, vocabulary, number: str, pair_share: float, discount: float) -> tuple[DataFrame, int]:
-    """((code, b, lt, lb) of every bigram of marked (text, mark): its background count and its loss on both sides; all tokens)."""
-    counted = marked.mapInArrow(_count_pairs(vocabulary, number), "v long, w long, b long, t long")
-    pairs = saved(counted.groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigrams")
-    unigrams = saved(pairs.groupBy("w").agg(F.sum("b").alias("ub"), F.sum("t").alias("ut")), "unigrams")
-    total, of_target, size = unigrams.agg(F.coalesce(F.sum("ub"), F.lit(0)), F.coalesce(F.sum("ut"), F.lit(0)), F.count(F.lit(1))).first()
-    size = 2 + (size if vocabulary.value is None else len(vocabulary.value))  # the boundary and the unknown word count
-    kept = (F.col("b") >= max(1.0, pair_share * total)) | (F.col("t") >= max(1.0, pair_share * of_target))
-    pairs = pairs.withColumns({f"s{s}": F.when(kept, F.greatest(F.col(s) - F.lit(discount), F.lit(0.0))).otherwise(F.lit(0.0)) for s in "bt"})
-    firsts = saved(pairs.groupBy("v").agg(*(F.sum(s).alias(f"f{s}") for s in "bt"), *(F.sum(f"s{s}").alias(f"k{s}") for s in "bt")), "firsts")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(n).to_numpy() for n in batch.schema.names}
-            out = []
-            for s, n in (("t", of_target), ("b", total)):
-                first = np.maximum(c[f"f{s}"], 1)
-                left = np.maximum(1.0 - c[f"k{s}"] / first, 1e-9)
-                out.append(-np.log(c[f"s{s}"] / first + left * (c[f"u{s}"] + 1.0) / (n + size)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_codes(c["v"], c["w"]), c["b"], *out)], names=["code", "b", "lt", "lb"])
-
-    return saved(pairs.join(firsts, "v").join(unigrams, "w").mapInArrow(work, "code long, b long, lt double, lb double"), "losses"), total
-
-
-def _look_up(codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where, whether) the codes stand in sorted keys."""
-    if not len(keys):
-        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    return at, keys[at] == codes
-
-
-_PACKED = "part long, docs binary, at binary, codes binary, n binary, lt binary, lb binary"
-
-
-def _requests(vocabulary, number: str, sent, parts: int):
-    """One row a piece with its documents' tokens and hot sums (part -1), and one for each part with the bigrams that are looked up there."""
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a part's counts for every batch, in the order in which it asked; bodies pass through."""
+    asked, codes, every, target, like, part = [], [], [], [], None, 0
+    for batch in batches:
+        like = batch.schema.field("ids").type.value_type
+        body = pc.equal(batch.column("part"), _BODY)
+        if pc.any(body).as_py():
+            yield pa.RecordBatch.from_arrays(batch.filter(body).columns, names=batch.schema.names)
+        for to, name, home, packed, counts in zip(*(batch.filter(pc.invert(body)).column(c).to_pylist() for c in ("to", "batch", "part", "codes", "counts")), strict=True):
+            part = to
+            asked.append((home, name))
+            codes.append(_unpack_hashes(packed))
+            b, t = _unpack(counts)
+            every.append(b)
+            target.append(t)
+    if not asked:
+        return
+    sizes = np.cumsum([0, *map(len, codes)]).tolist()
+    _, at = np.unique(np.concatenate(codes), return_inverse=True)
+    codes.clear()
+    sums = [np.bincount(at, np.concatenate(x)).astype(np.int64) for x in (every, target)]
+    every.clear()
+    target.clear()
+    for k, (home, name) in enumerate(asked):
+        own = at[sizes[k] : sizes[k + 1]]
+        yield _rows([(home, name, part, b"", _pack(*(s[own] for s in sums)))], [None], like)
+
+
+def _losses(grams: _Grams, counts: tuple[np.ndarray, np.ndarray], marks: np.ndarray, lengths: np.ndarray, totals: tuple, prior: float) -> list[np.ndarray]:
+    """The target's and the background's loss of every event. totals: events and documents, of all and of the target."""
+    n_all, d_all, n_target, d_target = totals
+    word, pair = grams.own(grams.word, grams.kinds + 2), grams.own(grams.pair, grams.pairs)
+    before = np.concatenate([np.ones(1, np.int64), word[:-1]])  # the word before is the last event's word
+    before[grams.before == grams.kinds + 1] = 1
+    length, mark = (lengths + 1)[grams.doc], marks[grams.doc]
+
+    def seen(sums: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+        by_code = np.empty(len(sums), np.int64)
+        by_code[grams.order] = sums
+        return np.concatenate([by_code[: grams.kinds], [documents, documents]]), by_code[grams.kinds :]
+
+    every, _ = seen(counts[0], d_all)
+    base = every[grams.word] / max(1, n_all)
+    out = []
+    for sums, events, documents, in_it in ((counts[1], n_target, d_target, mark), (counts[0], n_all, d_all, np.ones(len(mark), np.int64))):
+        words, pairs = seen(sums, documents)
+        p1 = (words[grams.word] - in_it * word + prior * base) / (events - in_it * length + prior)
+        out.append(np.log(words[grams.before] - in_it * before + prior) - np.log(pairs[grams.pair] - in_it * pair + prior * p1))
+    return out
+
+
+def _finish(totals: tuple, prior: float, names: list[str]):
+    """Each batch's documents with their losses; rows come by batch, its body first, then its answers by part."""
+
+    def done(ids: pa.Array, body: tuple[bytes, bytes], answers: list[bytes]) -> pa.RecordBatch:
+        words, lengths, marks = _unpack(body[1])
+        grams = _Grams(np.frombuffer(body[0], np.uint64), words, lengths)
+        found = [_unpack(a) for a in answers] or [[np.zeros(0, np.int64)] * 2]
+        counts = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        if len(counts[0]) != len(grams.codes):
+            raise AssertionError("a batch lacks answers")
+        sums = [np.bincount(grams.doc, x, minlength=len(lengths)) for x in _losses(grams, counts, marks, lengths, totals, prior)]
+        target, background = (pa.array(x / (lengths + 1), mask=lengths == 0) for x in sums)
+        score = pc.fill_null(pc.subtract(target, background), 0.0)
+        return pa.RecordBatch.from_arrays([ids, pa.array(lengths), target, background, score], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(number, vocabulary.value)
-        keys, hot_t, hot_b = sent.value
-        for batch in pieces(batches, "text"):
-            docs = batch.column("row").to_numpy()
-            found = [index.words(t or b"") for t in texts(batch.column("text"))]
-            n = np.array([len(w) for w in found], np.int64)
-            codes = np.concatenate([_codes(_behind(w), w) for w in found if len(w)] or [np.zeros(0, np.int64)])
-            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-            at, hot = _look_up(codes, keys)
-            sums = [np.bincount(doc[hot], x[at[hot]], minlength=len(n)).astype(np.float64) for x in (hot_t, hot_b)]
-            rows = [(-1, docs, n[:0], n[:0], n, *sums)]
-            codes, doc = codes[~hot], doc[~hot]
-            part = _parts(codes, parts)
-            order = np.lexsort((doc, codes, part))
-            codes, doc, part = codes[order], doc[order], part[order]
-            begins = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])]) if len(codes) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[begins, len(codes)]).astype(np.int32)
-            codes, doc, part = codes[begins], doc[begins], part[begins]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                own, place = np.unique(doc[a:b], return_inverse=True)
-                rows.append((int(part[a]), docs[own], place.astype(np.int32), codes[a:b], times[a:b], n[:0], n[:0]))
-            binary = [pa.array([x.tobytes() for x in c], pa.binary()) for c in list(zip(*rows, strict=True))[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *binary], names=["part", "docs", "at", "codes", "n", "lt", "lb"])
+        name = ids = body = None
+        answers: list[bytes] = []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("batch", "part", "codes", "counts"))
+            for row, (own, part, codes, counts) in enumerate(zip(*columns, strict=True)):
+                if part != _BODY:
+                    if own != name:
+                        raise AssertionError("answers without a batch")
+                    answers.append(counts)
+                    continue
+                if name is not None:
+                    yield done(ids, body, answers)
+                name, ids, body, answers = own, batch.column("ids")[row].values, (codes, counts), []
+        if name is not None:
+            yield done(ids, body, answers)
 
     return run
 
 
-_SUMS = "row long, n long, lt double, lb double"
-
-
-def _sums(docs: np.ndarray, n: np.ndarray, lt: np.ndarray, lb: np.ndarray) -> list[pa.Array]:
-    return [pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(lt, pa.float64()), pa.array(lb, pa.float64())]
-
-
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for docs, n, lt, lb in zip(*(batch.column(c).to_pylist() for c in ("docs", "n", "lt", "lb")), strict=True):
-            yield pa.RecordBatch.from_arrays(_sums(np.frombuffer(docs, np.int64), np.frombuffer(n, np.int64), np.frombuffer(lt), np.frombuffer(lb)), names=["row", "n", "lt", "lb"])
-
-
-def _answers(asked: pa.Table, table: pa.Table) -> pa.Table:
-    """Partial sums of a part's documents; every bigram that is asked for has been counted."""
-    order = np.argsort(table.column("code").to_numpy())
-    keys, lt, lb = (table.column(c).to_numpy()[order] for c in ("code", "lt", "lb"))
-    out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
-    for docs, at, codes, n in zip(*(asked.column(c).to_pylist() for c in ("docs", "at", "codes", "n")), strict=True):
-        docs, at, codes, n = np.frombuffer(docs, np.int64), np.frombuffer(at, np.int32), np.frombuffer(codes, np.int64), np.frombuffer(n, np.int32)
-        i, found = _look_up(codes, keys)
-        if not found.all():
-            raise AssertionError("a bigram of a document was not counted")
-        out.append((docs, *(np.bincount(at, n * x[i], minlength=len(docs)) for x in (lt, lb))))
-    docs, lt, lb = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table(_sums(docs, np.zeros(len(docs), np.int64), lt, lb), names=["row", "n", "lt", "lb"])
-
-
-def score(docs: DataFrame, target: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, prior: float = 1000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, loss_target, loss_background, score) of every document. target: the ids of the target's documents."""
-    marks = target.select(F.col(id_col).alias("__gl_id")).where("__gl_id IS NOT NULL").distinct().withColumn("mark", F.lit(True))
-    # a shuffled join at every size; the marked texts are written once with a number, as two passes read them
-    joined = docs.select(F.col(id_col).alias("__gl_id"), F.col(text_col).alias("text")).join(marks.hint("merge"), "__gl_id", "left")
-    marked = saved(joined.select(F.monotonically_increasing_id().alias("row"), "__gl_id", "text", F.coalesce("mark", F.lit(False)).alias("mark")), "marked-texts")
-    spark = docs.sparkSession
-    number = uuid.uuid4().hex
-    vocabulary = spark.sparkContext.broadcast(_vocabulary(marked.select("text", "mark"), word_share))
-    table, total = losses(marked.select("text", "mark"), vocabulary, number, pair_share, discount)
-    is_hot = F.col("b") >= max(1.0, _HOT * total)
-    hot = table.where(is_hot).toArrow()  # at most 1 / _HOT rows
-    order = np.argsort(hot.column("code").to_numpy())
-    sent = spark.sparkContext.broadcast(tuple(hot.column(c).to_numpy()[order] for c in ("code", "lt", "lb")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _PART))
-    asked = saved(marked.select("row", "text").mapInArrow(_requests(vocabulary, number, sent, parts), _PACKED), "requests")
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_parts(batch.column(0).to_numpy(), parts)), *batch.columns], names=["part", "code", "lt", "lb"])
-
-    cold = table.where(~is_hot).select("code", "lt", "lb").mapInArrow(placed, "part long, code long, lt double, lb double")
-    answers = asked.where("part >= 0").select("part", "docs", "at", "codes", "n").groupBy("part").cogroup(cold.groupBy("part")).applyInArrow(_answers, _SUMS)
-    heads = asked.where("part = -1").select("docs", "n", "lt", "lb").mapInArrow(_heads, _SUMS)
-    sums = heads.unionByName(answers).groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    found = marked.select("row", F.col("__gl_id").alias(id_col)).join(sums, "row").select(id_col, "n_tokens", mean("lt").alias("loss_target"), mean("lb").alias("loss_background"))
-    return found.withColumn("score", F.coalesce(F.col("loss_target") - F.col("loss_background"), F.lit(0.0)))
+    marks = target.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("mark", F.lit(True))
+    few = marks.limit(_SENT + 1).count() <= _SENT
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = named.join(F.broadcast(marks) if few else marks.hint("merge"), "id", "left").select("id", "text", F.coalesce("mark", F.lit(False)).alias("mark"))
+    if not few:
+        marked = saved(marked, "marked-texts")
+    n = F.regexp_count("text", F.lit(_EVENTS))
+    counted = marked.select("mark", n.alias("n")).where("n > 0")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    own = F.when(F.col("mark"), F.col("n") + 1)
+    totals = tuple(counted.agg(total(F.col("n") + 1), F.count(F.lit(1)), total(own), F.count(own)).first())
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-totals[0] // _PART))
+    schema = _row_type(field_type(docs, id_col))
+    asked = marked.mapInArrow(_ask(parts), schema)
+    answered = asked.repartitionById(parts, F.col("to")).mapInArrow(_answer, schema)
+    met = answered.repartitionById(parts, F.col("to")).sortWithinPartitions("batch", "part")
+    kinds = [(id_col, field_type(docs, id_col)), ("n_tokens", T.LongType()), *((c, T.DoubleType()) for c in ("loss_target", "loss_background", "score"))]
+    return met.mapInArrow(_finish(totals, prior, [n for n, _ in kinds]), T.StructType([T.StructField(n, t) for n, t in kinds]))

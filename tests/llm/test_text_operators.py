@@ -299,79 +299,6 @@ def test_chunks_never_change_ids():
 
 
 # Language models and the classifier ---------------------------------------------------------------------------------
-def brute_lm(docs, target, word_share, pair_share, d):
-    """The same models from plain dictionaries."""
-    texts = {i: (t or "").encode().lower().split() for i, t in docs}
-    total = sum(map(len, texts.values()))
-    of_target = sum(len(w) for i, w in texts.items() if i in target)
-    words = collections.Counter(w for ws in texts.values() for w in ws)
-    vocabulary = {w for w, n in words.items() if n >= max(1.0, word_share * total)}
-    v = len(vocabulary) + 2
-    coded = {i: [w if w in vocabulary else 1 for w in ws] for i, ws in texts.items()}
-    pairs = {s: collections.Counter(p for i, ws in coded.items() if s == "b" or i in target for p in zip([0, *ws], ws, strict=False)) for s in "tb"}
-    kept = {p for p in pairs["b"] if pairs["b"][p] >= max(1.0, pair_share * total) or pairs["t"][p] >= max(1.0, pair_share * of_target)}
-    out = {}
-    uni = {s: collections.Counter(w for i, ws in coded.items() if s == "b" or i in target for w in ws) for s in "tb"}
-    first = {s: collections.Counter() for s in "tb"}
-    for s in "tb":
-        for (a, _), n in pairs[s].items():
-            first[s][a] += n
-
-    def loss(s, a, b):
-        p = (uni[s][b] + 1) / (sum(uni[s].values()) + v)
-        share = lambda x, y: max(pairs[s][x, y] - d, 0) / max(first[s][x], 1) if (x, y) in kept else 0.0
-        left = max(1 - sum(share(x, y) for x, y in kept if x == a), 1e-9)
-        return -np.log(share(a, b) + left * p)
-
-    for i, ws in coded.items():
-        if ws:
-            out[i] = tuple(np.mean([loss(s, a, b) for a, b in zip([0, *ws], ws, strict=False)]) for s in "tb")
-    return out
-
-
-def test_lm_scores_against_brute_force(spark):
-    r = random.Random(6)
-    docs = [(i, " ".join(r.choice(["Red", "blue", "sky", "sea"] if i % 2 else ["red", "stone", "sky", "rock"]) for _ in range(r.randint(0, 12)))) for i in range(30)]
-    target = {i for i in range(30) if i % 2}
-    want = brute_lm(docs, target, 0.01, 0.02, 0.75)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {x.doc_id: x for x in lm_scoring.score(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), 0.01, 0.02, 0.75).collect()}
-    for i, t in docs:
-        if i in want:
-            assert np.allclose((got[i].loss_target, got[i].loss_background), want[i])
-            assert np.isclose(got[i].score, want[i][0] - want[i][1])
-        else:
-            assert (got[i].n_tokens, got[i].loss_target, got[i].score) == (0, None, 0.0)
-    mean = lambda odd: np.mean([got[i].score for i, t in docs if t and i % 2 == odd])
-    assert mean(1) < mean(0)
-
-
-def test_lm_keeps_every_word_and_bigram(spark):
-    """Over 500,000 tokens a word or bigram that occurs once still counts, whichever way its loss is looked up."""
-    r = random.Random(8)
-    docs = [(i, " ".join(f"w{min(int(r.paretovariate(0.7)), 400_000)}" for _ in range(1300))) for i in range(420)]
-    target = {i for i in range(420) if i % 3 == 0}
-    split = {i: t.encode().split() for i, t in docs}
-    side = {"b": list(split), "t": sorted(target)}
-    uni = {s: collections.Counter(w for i in side[s] for w in split[i]) for s in "bt"}
-    pairs = {s: collections.Counter(p for i in side[s] for p in zip([0, *split[i]], split[i], strict=False)) for s in "bt"}
-    assert sum(uni["b"].values()) > 500_000 and min(uni["b"].values()) == 1
-    first, mass = {s: collections.Counter() for s in "bt"}, {s: collections.Counter() for s in "bt"}
-    for s in "bt":
-        for (a, _), n in pairs[s].items():
-            first[s][a] += n
-            mass[s][a] += max(n - 0.75, 0)
-
-    def loss(s, a, b):
-        f = max(first[s][a], 1)
-        return -np.log(max(pairs[s][a, b] - 0.75, 0) / f + max(1 - mass[s][a] / f, 1e-9) * (uni[s][b] + 1) / (sum(uni[s].values()) + len(uni["b"]) + 2))
-
-    got = {x.doc_id: x for x in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
-    for i in range(0, 420, 14):
-        want = [np.mean([loss(s, a, b) for a, b in zip([0, *split[i]], split[i], strict=False)]) for s in "tb"]
-        assert np.allclose((got[i].loss_target, got[i].loss_background), want)
-
-
 def test_lm_of_awkward_tables(awkward, nothing):
     assert lm_scoring.score(awkward, awkward.where("doc_id = 1")).count() == awkward.count()
     assert lm_scoring.score(nothing, nothing).count() == 0
