@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,26 +173,41 @@ def hierarchy(paths: DataFrame, repository: str) -> DataFrame:
 
 
 def import_candidates(imports_: DataFrame, suffixes: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", ".d.ts", "/index.ts", "/index.tsx", "/index.js", ".py", "/__init__.py", ".go", ".rs", "/mod.rs", ".rb", ".java", ".cs", ".php")) -> DataFrame:
-    """EXT-15: (path, specifier, candidate, priority) of relative, dotted and bare specifiers."""
+    """EXT-15: (path, specifier, candidate, priority) of relative, dotted and bare specifiers.
+
+    A Python specifier climbs one folder for each dot after the first; one that climbs past the top has no file there.
+    """
     folder = F.regexp_replace("path", "/?[^/]+$", "")
     up = F.length(F.regexp_extract("specifier", r"^(\.+)", 1))
-    dotted = F.col("specifier").rlike(r"^\.*[A-Za-z_][\w.]*$") & F.col("path").endswith(".py")
+    dotted = F.col("specifier").rlike(r"^(\.*[A-Za-z_][\w.]*|\.+)$") & F.col("path").endswith(".py")
     relative = F.regexp_replace(F.concat(folder, F.lit("/"), F.regexp_replace("specifier", r"^\./", "")), r"^/", "")
     for _ in range(4):
         relative = F.regexp_replace(relative, r"(^|/)[^/.][^/]*/\.\./", "$1")
     module = F.regexp_replace(F.regexp_replace("specifier", r"^\.+", ""), r"\.", "/")
-    base = F.when(dotted & (up > 0), F.concat(folder, F.lit("/"), module)).when(dotted, module).when(F.col("specifier").startswith("."), relative).otherwise(F.col("specifier"))
+    # one dot is the file's own folder, each further one a folder up
+    above = F.array_join(F.slice(F.split(folder, "/"), F.lit(1), F.greatest(F.size(F.split(folder, "/")) - up + 1, F.lit(0))), "/")
+    climbed = F.regexp_replace(F.concat_ws("/", F.nullif(above, F.lit("")), F.nullif(module, F.lit(""))), r"^/", "")
+    base = F.when(dotted & (up > 0), climbed).when(dotted, module).when(F.col("specifier").startswith("."), relative).otherwise(F.col("specifier"))
     tried = imports_.select("path", "specifier", F.lower(base).alias("base"), F.posexplode(F.array(*(F.lit(s) for s in suffixes))).alias("priority", "suffix"))
     return tried.select("path", "specifier", F.concat("base", F.regexp_replace("suffix", "", "")).alias("candidate"), "priority")
 
 
 def resolve_imports(imports_: DataFrame, files: DataFrame) -> DataFrame:
-    """EXT-15 to EXT-19, JN-09: (path, specifier, target): the first candidate, by priority, that is a file."""
+    """EXT-15, JN-09: (path, specifier, target): the first candidate, by priority, that is a file.
+
+    Of EXT-16 to EXT-19 only the dots of Python and the files and folder entries of each language (suffixes) are covered.
+    """
     known = files.select(F.lower("path").alias("candidate")).distinct()
     return import_candidates(imports_).join(known, "candidate").groupBy("path", "specifier").agg(F.min(F.struct("priority", "candidate")).alias("b")).select("path", "specifier", F.col("b.candidate").alias("target"))
 
 
 def rename_plan(files: DataFrame, old: str, new: str) -> DataFrame:
-    """SNK-16: (path, edits, renamed): files that hold a name as a whole word, and their text with another; nothing is written."""
-    pattern = rf"\b{old}\b"
-    return files.where(F.col("source").rlike(pattern)).select("path", F.regexp_count("source", F.lit(pattern)).cast("long").alias("edits"), F.regexp_replace("source", pattern, new).alias("renamed"))
+    """SNK-16: (path, edits, renamed): files that hold a name as a whole word, and their text with another; nothing is written.
+
+    Both names are taken as they are: no character of them is a pattern or a reference to one.
+    """
+    word = r"[\p{Alnum}_]"
+    edges = (rf"(?<!{word})" if re.match(r"\w", old) else "", rf"(?!{word})" if re.match(r".*\w$", old, re.S) else "")
+    pattern = edges[0] + "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in old) + edges[1]
+    quoted = re.sub(r"([\\$])", r"\\\1", new)
+    return files.where(F.col("source").rlike(pattern)).select("path", F.regexp_count("source", F.lit(pattern)).cast("long").alias("edits"), F.regexp_replace("source", pattern, quoted).alias("renamed"))

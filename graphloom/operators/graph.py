@@ -7,13 +7,16 @@ strategy adaptive execution picks from the frontier's measured size.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import ANCHOR_KINDS, ANCHOR_LABELS, ENTRY_FILES, ENTRY_NAMES
-from ..plans.loops import written
+from ..plans.loops import forget, written
 
 # What a step over an edge costs when impact or a path is measured.
 IMPACT_WEIGHTS = {"EXTENDS": 0.5, "IMPLEMENTS": 0.7, "CALLS": 1.0, "CONSTRUCTS": 1.2, "MEMBER_OF": 1.5, "IMPORTS": 2.0, "DEPENDS_ON": 2.5}
@@ -150,11 +153,13 @@ def anchors(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("canonical_kind").isin(*ANCHOR_KINDS) | F.col("semantic_kind").isin(*ANCHOR_LABELS))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, checkpoint_every: int = 3) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, together: int = 6) -> DataFrame:
     """GR-03: (id, rank, energy) of every node: fixed iterations over edges between anchors, multi-edges counted, the mass
     of anchors without out-edges spread evenly; other nodes have 0. energy is rank times the number of anchors.
 
-    Multi-edges are summed to one transition first. Ranks are rounded to 1e-15 by no one: sums may differ in the last bits.
+    The iteration is linear and spreads only the uniform vector, so it is done as y(k + 1) = M y(k) from the uniform y(0):
+    one join and one aggregation a step, ``together`` steps written at a time. The mass lost at ends is one number a
+    step, known when all steps are; ranks are the steps' sum with the coefficients that follow from it.
     """
     ids = written(anchors(nodes).select("id").distinct())
     n = ids.count()
@@ -164,16 +169,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
     many = inner.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("m"))
     out = many.groupBy("source_id").agg(F.sum("m").alias("d"))
     moves = written(many.join(out, "source_id").select(F.col("source_id").alias("id"), "target_id", (F.col("m") / F.col("d")).alias("p")))
-    dangling = ids.join(moves.select("id"), "id", "left_anti").withColumn("ends", F.lit(True))
-    state = written(ids.join(dangling, "id", "left").select("id", F.coalesce("ends", F.lit(False)).alias("ends"), F.lit(1.0 / n).alias("rank")))
-    for i in range(iterations):
-        lost = state.where("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = state.join(moves, "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        new = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        state = state.join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", "ends", new.alias("rank"))  # lost: one row
-        if i % checkpoint_every == checkpoint_every - 1 or i == iterations - 1:
-            state = written(state)
-    ranked = nodes.select("id").join(state.select("id", "rank"), "id", "left")
+    steps = written(ids.select("id", F.lit(1.0 / n).alias("y"), F.lit(0).alias("k")))
+    y = steps.select("id", "y")
+    for first in range(1, iterations + 1, together):
+        some = []  # each of them reads the last one's exchange, so a step is computed once
+        for k in range(first, min(first + together, iterations + 1)):
+            y = y.join(moves, "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("y") * F.col("p")).alias("y"))
+            some.append(y.withColumn("k", F.lit(k)))
+        made = written(functools.reduce(DataFrame.unionByName, some))
+        y = made.where(F.col("k") == first + len(some) - 1).select("id", "y")
+        steps = steps.unionByName(made)
+    ends = ids.join(moves.select("id"), "id", "left_anti")
+    at_ends = dict(steps.join(ends, "id", "left_semi").groupBy("k").agg(F.sum("y")).collect())  # a number for each step
+    share = [1.0]  # of each step in the ranks
+    for _ in range(iterations):
+        lost = sum(c * at_ends.get(k, 0.0) for k, c in enumerate(share))
+        share = [1 - damping + damping * lost, *(damping * c for c in share)]
+    ranks = steps.join(F.broadcast(nodes.sparkSession.createDataFrame(list(enumerate(share)), "k int, share double")), "k").groupBy("id").agg(F.sum(F.col("y") * F.col("share")).alias("rank"))
+    ranked = nodes.select("id").join(ranks, "id", "left")
     return ranked.select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"), (F.coalesce("rank", F.lit(0.0)) * n).alias("energy"))
 
 
@@ -204,7 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = written(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        last, pairs = pairs, written(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        forget(last)
         mark = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
         if mark == before:
             break
@@ -225,16 +239,89 @@ def _spread_max(steps: DataFrame, state: DataFrame) -> DataFrame:
         changed = better
 
 
-def strong_components(edges: DataFrame, ignore_types: Sequence[str] = ()) -> DataFrame:
+def _tarjan(a: list[int], b: list[int], n: int) -> list[int]:
+    """The largest vertex of each vertex's strongly connected component, vertices 0 to n - 1, edges a to b."""
+    follow: list[list[int]] = [[] for _ in range(n)]
+    for x, y in zip(a, b, strict=True):
+        follow[x].append(y)
+    index, low, name = [-1] * n, [0] * n, [-1] * n
+    open_: list[int] = []
+    count = 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        walk = [(root, 0)]
+        while walk:
+            x, at = walk.pop()
+            if at == 0:
+                index[x] = low[x] = count
+                count += 1
+                open_.append(x)
+            else:
+                low[x] = min(low[x], low[follow[x][at - 1]])
+            while at < len(follow[x]):
+                y = follow[x][at]
+                at += 1
+                if index[y] < 0:
+                    walk += [(x, at), (y, 0)]
+                    break
+                if name[y] < 0:
+                    low[x] = min(low[x], index[y])
+            else:
+                if low[x] == index[x]:
+                    members = [open_.pop()]
+                    while members[-1] != x:
+                        members.append(open_.pop())
+                    largest = max(members)
+                    for y in members:
+                        name[y] = largest
+    return name
+
+
+def _strong_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, colour) of the vertices of one task's edges (a, b), which hold whole weak components."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    whole = pa.Table.from_batches(held)
+    ids = pc.unique(pa.chunked_array([*whole["a"].chunks, *whole["b"].chunks])).sort()
+    a, b = (pc.index_in(whole[c], ids).to_pylist() for c in "ab")
+    colours = ids.take(pa.array(_tarjan(a, b, len(ids))))
+    yield pa.RecordBatch.from_arrays([ids, colours], names=["id", "colour"])
+
+
+def strong_components(edges: DataFrame, ignore_types: Sequence[str] = (), most: int = 1_000_000) -> DataFrame:
     """GR-06: (id, component, size) of strongly connected components with more than one node, or one with a self-loop.
 
-    Colouring: vertices without a way in or out are peeled off; the rest take the largest id that reaches them; a colour's
-    component is what reaches its root within the colour, is taken out, and what is left starts over. The component's
-    name is its largest id. The self-loop test looks at all edge types.
+    Weakly connected parts of at most ``most`` edges are dealt out whole and searched depth-first, many to a task of
+    about as many edges. Larger ones are coloured in rounds (``_coloured``). The component's name is its largest id. The
+    self-loop test looks at all edge types.
     """
     loops = edges.where("source_id = target_id").select(F.col("source_id").alias("id")).distinct()
     kept = edges.where(~F.col("type").isin(*ignore_types)) if ignore_types else edges
-    steps = written(kept.where("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct())
+    steps = kept.where("source_id <> target_id").select("source_id", "target_id").distinct()
+    parts = components(steps).select(F.col("id").alias("source_id"), "component")
+    steps = written(steps.join(parts, "source_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "component"))
+    sizes = written(steps.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    total, large = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > most)).first()
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    small = steps if not large else steps.join(sizes.where(F.col("n") > most), "component", "left_anti")
+    found = written(small.repartition(tasks, "component").select("a", "b").mapInArrow(_strong_in_task, "id string, colour string"))
+    if large:
+        coloured = _coloured(written(steps.join(sizes.where(F.col("n") > most), "component", "left_semi").select("a", "b")))
+        found = found if coloured is None else found.unionByName(coloured)
+    sizes = found.groupBy("colour").agg(F.count(F.lit(1)).alias("size"))
+    alone = loops.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("colour"), F.lit(1).cast("long").alias("size"))
+    named = found.join(sizes, "colour").select("id", "colour", "size").unionByName(alone)
+    return named.join(loops.withColumn("loop", F.lit(True)), "id", "left").where("size > 1 OR loop").select("id", F.col("colour").alias("component"), "size")
+
+
+def _coloured(steps: DataFrame) -> DataFrame | None:
+    """(id, colour) of the vertices in strongly connected components of edges (a, b); None if there are none.
+
+    Vertices without a way in or out are peeled off; the rest take the largest id that reaches them; a colour's component
+    is what reaches its root within the colour, is taken out, and what is left starts over.
+    """
     found = None
     while not steps.isEmpty():
         while True:  # peel
@@ -262,9 +349,7 @@ def strong_components(edges: DataFrame, ignore_types: Sequence[str] = ()) -> Dat
         found = members if found is None else found.unionByName(members)
         left = steps.join(members.select(F.col("id").alias("a")), "a", "left_anti").join(members.select(F.col("id").alias("b")), "b", "left_anti")
         steps = written(left.select("a", "b"))
-    named = loops.select("id", F.col("id").alias("colour")) if found is None else found.unionByName(loops.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("colour")))
-    sizes = named.groupBy("colour").agg(F.count(F.lit(1)).alias("size"))
-    return named.join(sizes, "colour").join(loops.withColumn("loop", F.lit(True)), "id", "left").where("size > 1 OR loop").select("id", F.col("colour").alias("component"), "size")
+    return found
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -293,22 +378,30 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
 
 def nearest_ancestor(nodes: DataFrame, wanted: Column, max_hops: int = 20, include_self: bool = True) -> DataFrame:
     """GR-31, GR-32: (id, ancestor, hops): the first node for which ``wanted`` holds on the way up the parent pointers;
-    ancestor is null where there is none within max_hops or the way ends."""
-    up = written(nodes.select("id", "parent_id", F.coalesce(wanted, F.lit(False)).alias("ok")))
-    state = up.select("id", F.col("id").alias("at"), F.col("parent_id").alias("next"), F.lit(0).alias("hops"), (F.col("ok") if include_self else F.lit(False)).alias("ok"))
-    done = state.where("ok").select("id", F.col("at").alias("ancestor"), "hops")
-    walking = written(state.where("NOT ok AND next IS NOT NULL").select("id", "next"))
-    parts = [done]
-    step = up.select(F.col("id").alias("next"), F.col("parent_id").alias("then"), "ok")
-    for hop in range(1, max_hops + 1):
-        if walking.isEmpty():
-            break
-        moved = written(walking.join(step, "next"))
-        parts.append(moved.where("ok").select("id", F.col("next").alias("ancestor"), F.lit(hop).alias("hops")))
-        walking = written(moved.where("NOT ok AND then IS NOT NULL").select("id", F.col("then").alias("next")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    ancestor is null where there is none within max_hops or the way ends.
+
+    Only nodes that are parents walk, by pointers that double in length each round, so a parent of most nodes is resolved
+    once; all nodes then take their parent's answer in one join. Rows with one id meet each other's answers.
+    """
+    up = nodes.select("id", "parent_id", F.coalesce(wanted, F.lit(False)).alias("ok"))
+    parents = up.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct()
+    inner = up.join(parents, "id", "left_semi")
+    # at: where the pointer leads, hops steps up; found: whether that is the answer
+    state = written(inner.where("ok OR parent_id IS NOT NULL").select("id", F.when(F.col("ok"), F.col("id")).otherwise(F.col("parent_id")).alias("at"), F.when(F.col("ok"), 0).otherwise(1).alias("hops"), F.col("ok").alias("found")))
+    length = 1
+    while length < max_hops and not state.where("NOT found").isEmpty():
+        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("then"), F.col("hops").alias("more"), F.col("found").alias("there"))
+        moved = state.where("NOT found").join(ahead, "at").select("id", F.col("then").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), F.col("there").alias("found"))
+        last, state = state, written(state.where("found").unionByName(moved))
+        forget(last)
+        length *= 2
+    answers = state.where("found").select(F.col("id").alias("parent_id"), "at", "hops")
+    own = up.withColumn("own", F.col("ok") if include_self else F.lit(False))
+    # a node that is its own answer, or has no parent, needs no join; its key is null and never hot
+    asked = own.withColumn("parent_id", F.when(~F.col("own"), F.col("parent_id")))
+    joined = asked.join(answers, "parent_id", "left")
+    joined = joined.where(F.col("own") | (F.col("hops") + 1 <= max_hops))
+    whole = joined.select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("at")).alias("ancestor"), F.when(F.col("own"), 0).otherwise(F.col("hops") + 1).alias("hops"))
     return nodes.select("id").join(whole, "id", "left")
 
 

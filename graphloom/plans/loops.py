@@ -45,3 +45,12 @@ def written(df: DataFrame, what: str = "state") -> DataFrame:
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*states: DataFrame) -> None:
+    """Removes tables that ``written`` made and nothing reads any more, such as a loop's superseded states."""
+    for df in states:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if f"/graphloom-{df.sparkSession.sparkContext.applicationId}/" in folder:
+                _remove(df.sparkSession, folder)

@@ -9,7 +9,7 @@ from ..functions import extraction as X
 from ..operators import linking, search
 from ..sources import texts
 from ..streaming import changes
-from .loops import written
+from .loops import scratch, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,14 +138,10 @@ add("project_of_file", lambda s, d: texts.project_of(s.createDataFrame([("r/a/x.
 
 def _streamed(spark: SparkSession, sf_dir: str):
     """Edges of the event stream counted per day, run to the end of what is there."""
-    import uuid
-
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(sf_dir)
     edges = events.select(F.concat(F.lit("user::"), "user_id").alias("source_id"), F.col("event_type").alias("target_id"), F.lit("CALLS").alias("type"), F.col("ts").cast("timestamp").alias("ts"))
-    from .loops import shared_dir
-
-    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    top = scratch(spark, "stream")
     counted = changes.edge_counts(edges, late="60 days")
     out = f"{top}/out"
 

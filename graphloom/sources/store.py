@@ -102,7 +102,7 @@ class Store:
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.path}/{name}")
         counts = [d.count() for d in (self.nodes(snapshot), self.edges(snapshot))]
         header = self.spark.createDataFrame([(snapshot, ts, commit_hash, counts[0], counts[1], metadata)], SNAPSHOTS)
-        header.write.mode("append").parquet(f"{self.path}/snapshots")
+        header.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").parquet(f"{self.path}/snapshots")
 
     def clear(self) -> None:
         """SNK-07."""

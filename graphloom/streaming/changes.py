@@ -15,15 +15,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.store import Store
 
 
-def refresh(store: Store, changes: DataFrame, extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, clock: Callable[[int], int], on_batch: Callable[[int, DataFrame], None] | None = None, **trigger) -> StreamingQuery:
+def refresh(store: Store, changes: DataFrame, extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, clock: Callable[[int], int], on_batch: Callable[[int, DataFrame], None] | None = None, time: str | None = None, **trigger) -> StreamingQuery:
     """STR-01, STR-02: each batch of (path, source, change) becomes a snapshot: changed files are extracted anew, all else
     is carried forward. Removed files (change ``unlink``) are left alone, as the watcher does.
 
+    Of several changes of a file in a batch the last by the column ``time`` counts (of equal times the greatest source, so
+    that a batch that runs again has the same result); without such a column, the last in the order of the batch's rows.
     The snapshot is named after the batch, so a batch that runs again replaces its own snapshot. clock gives its time.
     """
 
+    when = F.struct(F.col(time), F.col("source")) if time else F.monotonically_increasing_id()
+
     def step(batch: DataFrame, number: int) -> None:
-        files = batch.where("change <> 'unlink'").groupBy("path").agg(F.last("source").alias("source"))
+        files = batch.where("change <> 'unlink'").withColumn("__gl_when", when).groupBy("path").agg(F.max_by("source", "__gl_when").alias("source"))
         if files.isEmpty():
             return
         nodes, edges = extract(files)

@@ -193,3 +193,62 @@ def test_bare_targets_need_an_import(spark):
     assert linking.resolve_bare_targets(n, e).count() == 0
     more = e.unionByName(edges(spark, [("a::unit", "b::unit", "IMPORTS")]).withColumn("id", F.lit("imp")))
     assert [r.new_target_id for r in linking.resolve_bare_targets(n, more).collect()] == ["b::g"]
+
+
+def test_strong_components_however_they_are_found(spark):
+    """Searched in tasks and coloured in rounds, against reachability in both directions."""
+    r = random.Random(5)
+    for n, m in ((6, 9), (40, 55), (12, 60)):
+        pairs = {(f"{r.randrange(3)}:{r.randrange(n)}",) * 1 + (f"{r.randrange(3)}:{r.randrange(n)}",) for _ in range(m)}
+        df = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs], "source_id string, target_id string, type string")
+        ids = {x for p in pairs for x in p}
+        reach = {x: {x} for x in ids}
+        for _ in ids:
+            for a, b in pairs:
+                reach[a] |= reach[b]
+        want = {}
+        for x in ids:
+            own = {y for y in reach[x] if x in reach[y]}
+            if len(own) > 1 or (x, x) in pairs:
+                want[x] = (max(own), len(own))
+        for most in (1_000_000, 1):
+            assert {q.id: (q.component, q.size) for q in G.strong_components(df, most=most).collect()} == want, (n, m, most)
+
+
+def test_nearest_ancestor_over_long_ways_rings_and_gaps(spark):
+    rows = [(f"n{i}", f"n{i + 1}" if i < 40 else None, i == 40 or i == 7) for i in range(41)] + [("r1", "r2", False), ("r2", "r1", False), ("g", "gone", False), ("self", "self", False), ("top", None, True)]
+    df = spark.createDataFrame(rows, "id string, parent_id string, ok boolean")
+    up = {i: (p, ok) for i, p, ok in rows}
+
+    def walk(i, include_self, most):
+        at, hops = i, 0
+        while at in up and hops <= most:
+            if up[at][1] and (hops or include_self):
+                return at, hops
+            at, hops = up[at][0], hops + 1
+        return None, None
+
+    for include_self in (True, False):
+        for most in (1, 5, 20):
+            got = {q.id: (q.ancestor, q.hops) for q in G.nearest_ancestor(df, F.col("ok"), most, include_self).collect()}
+            assert got == {i: walk(i, include_self, most) for i in up}, (include_self, most)
+
+
+def test_pagerank_against_power_iteration(spark):
+    r = random.Random(3)
+    ids = [f"v{i}" for i in range(30)]
+    pairs = [(r.choice(ids[:25]), r.choice(ids)) for _ in range(60)]
+    nodes = spark.createDataFrame([(i, "BEHAVIOR", "function") for i in ids] + [("atom", "ATOM", "variable")], "id string, canonical_kind string, semantic_kind string")
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs], "source_id string, target_id string, type string")
+    got = {q.id: q.rank for q in G.pagerank(nodes, edges).collect()}
+    own = [i for i in ids if got[i] > 0]
+    rank = dict.fromkeys(own, 1 / len(own))
+    out = {a: [b for x, b in pairs if x == a] for a in own}
+    for _ in range(30):
+        lost = sum(v for a, v in rank.items() if not out[a])
+        new = dict.fromkeys(own, 0.15 / len(own) + 0.85 * lost / len(own))
+        for a, v in rank.items():
+            for b in out[a]:
+                new[b] += 0.85 * v / len(out[a])
+        rank = new
+    assert len(own) == 30 and got["atom"] == 0 and all(abs(got[a] - rank[a]) < 1e-12 for a in own)

@@ -39,6 +39,10 @@ def test_writing_a_snapshot_again_replaces_it(spark, tmp_path):
     s.write("s1", 10, *graph(spark, [("a.py", "f")]))
     s.write("s1", 10, *graph(spark, [("a.py", "g")]))
     assert [r.id for r in s.nodes("s1").collect()] == ["a.py::g"]
+    s.write("s2", 20, *graph(spark, [("a.py", "g")]))
+    s.write("s1", 12, *graph(spark, [("a.py", "g"), ("b.py", "h")]))
+    assert sorted((r.id, r.ts, r.node_count) for r in s.snapshots().collect()) == [("s1", 12, 2), ("s2", 20, 1)]
+    assert s.latest() == "s2" and s.as_of(15) == "s1"
 
 
 def test_clear_file_and_federation(spark):
@@ -67,6 +71,21 @@ def test_stream_refreshes_the_store(spark, tmp_path):
     assert {(r.id, r.complexity) for r in s.nodes(s.latest()).collect()} == {("a.py::f", 2), ("b.py::f", 5)}
 
 
+def test_the_last_of_several_changes_in_a_batch_counts(spark, tmp_path):
+    src, s = tmp_path / "several", Store(spark, f"file://{tmp_path}/several-store")
+    schema = "path string, source string, change string, at long"
+
+    def extract(files):
+        n = files.select(F.concat("path", F.lit("::f")).alias("id"), F.lit("f").alias("name"), F.concat("path", F.lit("::unit")).alias("unit_id"), F.col("path").alias("file"), F.length("source").alias("complexity"))
+        return n, n.select(F.concat("id", F.lit("->x")).alias("id"), F.col("id").alias("source_id"), F.lit("x").alias("target_id"), F.lit("CALLS").alias("type"))
+
+    rows = [("a.py", "xxxx", "change", 7), ("a.py", "x", "add", 1), ("a.py", "xx", "change", 3), ("b.py", "y", "add", 2), ("b.py", "yyy", "change", 2)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"file://{src}")
+    stream = spark.readStream.schema(schema).json(f"file://{src}")
+    changes.refresh(s, stream, extract, f"file://{tmp_path}/several-cp", lambda n: n, time="at").awaitTermination()
+    assert {(r.id, r.complexity) for r in s.nodes(s.latest()).collect()} == {("a.py::f", 4), ("b.py::f", 3)}
+
+
 def test_repeated_edges_within_the_watermark_are_dropped(spark, tmp_path):
     src = tmp_path / "edges"
     spark.createDataFrame([("e1", "2024-01-01 00:00:00"), ("e1", "2024-01-01 00:01:00"), ("e2", "2024-01-01 00:02:00")], "id string, ts string").select("id", F.to_timestamp("ts").alias("ts")).write.parquet(f"file://{src}")

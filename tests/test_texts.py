@@ -104,3 +104,21 @@ def test_frameworks(spark):
     rows = [("requirements.txt", "flask==2\ndjango"), ("package.json", '{"devDependencies": {"express": "1"}}'), ("package.json", "{"), ("a.py", "from fastapi import X"), ("b.py", "flask"), ("c.ts", "import express")]
     df = spark.createDataFrame(rows, "name string, source string")
     assert [r.v for r in df.select(texts.framework(F.col("name"), F.col("source")).alias("v")).collect()] == ["flask", "express", None, "fastapi", None, None]
+
+
+def test_relative_imports_climb_a_folder_for_each_further_dot(spark):
+    cases = {
+        ("pkg/a/b/c.py", ".util"): "pkg/a/b/util.py", ("pkg/a/b/c.py", "..util"): "pkg/a/util.py", ("pkg/a/b/c.py", "...util"): "pkg/util.py", ("pkg/a/b/c.py", "....util"): "util.py",
+        ("pkg/a/b/c.py", "..sub.deep"): "pkg/a/sub/deep.py", ("pkg/a/b/c.py", ".."): "pkg/a/__init__.py", ("top.py", ".util"): "util.py", ("pkg/a/b/c.py", "pkg.util"): "pkg/util.py",
+        ("web/x/y.ts", "../util"): "web/util.ts", ("web/x/y.ts", "./util"): "web/x/util.ts",
+    }
+    files = spark.createDataFrame([(p,) for p in {"pkg/a/b/util.py", "pkg/a/util.py", "pkg/util.py", "util.py", "pkg/a/sub/deep.py", "pkg/a/__init__.py", "web/util.ts", "web/x/util.ts"}], "path string")
+    got = X.resolve_imports(spark.createDataFrame(list(cases), "path string, specifier string"), files)
+    assert {(r.path, r.specifier): r.target for r in got.collect()} == cases
+
+
+def test_renaming_takes_names_as_they_are(spark):
+    files = spark.createDataFrame([("1", "a.b axb a.bc xa.b (a.b)"), ("2", "axb"), ("3", "x$y + $y")], "path string, source string")
+    assert {r.path: (r.edits, r.renamed) for r in X.rename_plan(files, "a.b", "c$1\\d").collect()} == {"1": (2, "c$1\\d axb a.bc xa.b (c$1\\d)")}
+    assert {r.path: r.renamed for r in X.rename_plan(files, "axb", "q").collect()} == {"1": "a.b q a.bc xa.b (a.b)", "2": "q"}
+    assert {r.path: (r.edits, r.renamed) for r in X.rename_plan(files, "$y", "z").collect()} == {"3": (2, "xz + z")}
