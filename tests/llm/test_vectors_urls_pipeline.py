@@ -45,7 +45,8 @@ def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 0.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, []), (7, []), (8, [1e300, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("v", F.lit(2))
     got = vafile.top_k(df, F.col("id") == 0, 20).collect()
-    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 8), (2, 6), (3, 7)]
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 8), (2, 6), (3, 7), (4, 7)]  # every row is a candidate
+    assert got[0].score == (2**63 - 1 if got[0].rank == 1 else got[0].score)
     assert vafile.top_k(df.where("false"), F.col("id") == 0).count() == 0
 
 
