@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..plans.loops import scratch, written as saved
+from ..plans.loops import forget, scratch, written as saved
 
-__all__ = ["arrow_map", "field_type", "pieces", "replaced", "saved", "scratch", "table", "texts"]
+__all__ = ["arrow_map", "field_type", "forget", "pieces", "replaced", "saved", "scratch", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

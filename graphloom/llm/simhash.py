@@ -6,19 +6,21 @@ set if more than half the shingles' XXH64 (seed 42) have it. Fingerprints that d
 linked; a document's component is named after the smallest id that can be reached.
 
 How the join scales. Documents with one fingerprint are one vertex, so exact copies cost a map-side combined count and
-no pair. Two fingerprints within ``max_bits`` = 4 bits agree on at least two of six blocks of bits, so each of the 15
-ways to choose two blocks orders the bits anew: the chosen blocks become the trie's root path, where no bit may differ
-(the error budget at the root path is zero), and one task owns each root. Below the root, node pairs are traversed
-together, differing bits are accumulated along the way and a pair is pruned as soon as they exceed the budget; a pair
-whose leaves already hang together is pruned too, because only reachability is asked for. So a root emits at most one
+no pair. Two fingerprints within ``max_bits`` = 4 bits agree on at least one of five blocks of bits, so each fingerprint
+goes into five tries, one for each block that is put first: the block's value is the root that owns a trie, the bits
+behind it are branched on. The self-join of a trie starts from the pair (root, root) and traverses pairs of nodes
+together: differing bits are accumulated along the way and a pair is pruned as soon as they exceed the budget; a pair
+whose leaves already hang together is pruned too, because only reachability is asked for. So a trie emits at most one
 link a fingerprint, not the pairs of a group.
 
-A root with more than ``most`` fingerprints is split before it is joined: its free bits are cut in six blocks in turn,
-and again two of them must agree. Fingerprints are distinct, so a root with at most 13 free bits holds at most 8192 of
-them: at most four splits bound every task, whatever the size of a group, and no pair is lost on the way.
+A trie of more than ``most`` fingerprints is split before it is joined: its free bits are cut in six blocks, of which
+two must agree, and these are put first as well. Fingerprints are distinct, so a trie with at most 13 free bits holds at
+most 8192 of them: at most four splits bound every trie, whatever the size of a group, and no pair is lost on the way.
+The number of tasks follows from the number of fingerprints.
 
 Links then shrink to stars by alternating large-star and small-star steps until nothing changes, each step written to
-the shared folder.
+the shared folder. Where one key holds many rows (a hub, the fingerprint of many copies), its one row of the other side
+is sent to the workers: keys with over 1/2000 of all rows, so never more than 2000 of them.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows
 stay rows and share a component; a null id gets the component of its fingerprint's smallest other id; other columns
@@ -36,10 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, field_type, saved, texts
+from .common import arrow_map, field_type, forget, saved, texts
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _CHUNK = 1 << 18
+_PART = 500_000  # rows for each task that joins tries
+_TOGETHER = 1 << 15
+_HOT, _FEW = 2000, 100
 _FEW_BITS = 13  # a root with no more free bits holds 8192 fingerprints at most and isn't split
 
 
@@ -83,17 +88,29 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _roots(max_bits: int, free_mask: int = -1) -> list[int]:
-    """Masks of bits that must agree: any two numbers within max_bits on the free bits agree on one mask at least."""
+def _roots(max_bits: int, free_mask: int = -1, agree: int = 1) -> list[int]:
+    """Masks of ``agree`` blocks of bits: any two numbers within max_bits on the free bits agree on one mask at least."""
     free = [b for b in range(64) if free_mask >> b & 1]
-    return [_mask(sum(two, [])) for two in itertools.combinations(_blocks(free, max_bits + 2), 2)]
+    return [_mask(sum(some, [])) for some in itertools.combinations(_blocks(free, max_bits + agree), agree)]
+
+
+def _children(a0, a1, am, b0, b1, bm, diff, max_bits) -> tuple[np.ndarray, ...]:
+    """The pairs of children of pairs of nodes within the budget; am, bm: where the children for a set bit begin."""
+    same = (a0 == b0) & (a1 == b1)
+    parts = []
+    for p0, p1, q0, q1, extra, only in ((a0, am, b0, bm, 0, None), (am, a1, bm, b1, 0, None), (a0, am, bm, b1, 1, None), (am, a1, b0, bm, 1, ~same)):
+        ok = (p1 > p0) & (q1 > q0) & (diff + extra <= max_bits)
+        if only is not None:
+            ok &= only
+        parts.append((p0[ok], p1[ok], q0[ok], q1[ok]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def trie_links(fps: np.ndarray, root: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smallest fingerprint that it hangs on) of a self-join of binary tries.
 
     fps: uint64, root: an id of each one's trie; only fingerprints of one trie are compared. The leaves of a node are a
-    range of the sorted fingerprints, so a node is (from, to, bit).
+    range of the sorted fingerprints, so a node is (from, to); ways without a branch are stepped over at once.
     """
     order = np.lexsort((fps, root))
     fps, root = fps[order], root[order]
@@ -121,8 +138,8 @@ def trie_links(fps: np.ndarray, root: np.ndarray, max_bits: int) -> tuple[np.nda
     begins = np.flatnonzero(np.r_[True, root[1:] != root[:-1]]) if n else np.zeros(0, np.int64)
     ends = np.r_[begins[1:], n]
     wide = ends - begins > 1
-    # frontier: node pairs (a0, a1) x (b0, b1), the bit to branch on next, bits that differ so far
-    stack = [(begins[wide], ends[wide], begins[wide], ends[wide], np.full(wide.sum(), 63), np.zeros(wide.sum(), np.int64))]
+    # frontier: pairs of nodes (a0, a1) x (b0, b1)
+    stack = [(begins[wide], ends[wide], begins[wide], ends[wide])]
 
     def middle(lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Where the leaves with this bit begin; leaves of a node agree on all higher bits."""
@@ -138,47 +155,39 @@ def trie_links(fps: np.ndarray, root: np.ndarray, max_bits: int) -> tuple[np.nda
             lo = np.where(open_ & ~isset, mid + 1, lo)
 
     while stack:
-        a0, a1, b0, b1, bit, diff = stack.pop()
-        if len(a0) > _CHUNK:
-            half = len(a0) // 2
-            stack += [tuple(x[:half] for x in (a0, a1, b0, b1, bit, diff)), tuple(x[half:] for x in (a0, a1, b0, b1, bit, diff))]
+        pairs = stack.pop()
+        if len(pairs[0]) > _CHUNK:
+            half = len(pairs[0]) // 2
+            stack += [tuple(x[:half] for x in pairs), tuple(x[half:] for x in pairs)]
             continue
-        small = (a1 - a0) * (b1 - b0) <= 64
-        if small.any():  # a few leaves: compare them
-            sizes = ((a1 - a0) * (b1 - b0))[small]
-            which = np.repeat(np.flatnonzero(small), sizes)
-            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            nb = (b1 - b0)[which]
-            i, j = a0[which] + within // nb, b0[which] + within % nb
-            ok = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= max_bits)
-            union(i[ok], j[ok])
-        keep = ~small
-        a0, a1, b0, b1, bit, diff = (x[keep] for x in (a0, a1, b0, b1, bit, diff))
+        a0, a1, b0, b1 = pairs
+        # down to the next bit on which leaves of a node differ; the bits above it that differ between the two are the cost
+        below = (fps[a0] ^ fps[a1 - 1]) | (fps[b0] ^ fps[b1 - 1])
+        for shift in (1, 2, 4, 8, 16, 32):
+            below |= below >> np.uint64(shift)
+        diff = np.bitwise_count((fps[a0] ^ fps[b0]) & ~below).astype(np.int64)
+        ok = diff <= max_bits
+        leaf = ok & (below == 0) & (a0 < b0)
+        union(a0[leaf], b0[leaf])
+        ok &= below > 0
+        a0, a1, b0, b1, below, diff = (x[ok] for x in (a0, a1, b0, b1, below, diff))
         if not len(a0):
             continue
         # prune pairs whose leaves all hang together already
         label = find(np.arange(n))
         changes = np.r_[0, np.cumsum(label[1:] != label[:-1])]
         apart = (changes[a1 - 1] != changes[a0]) | (changes[b1 - 1] != changes[b0]) | (label[a0] != label[b0])
-        a0, a1, b0, b1, bit, diff = (x[apart] for x in (a0, a1, b0, b1, bit, diff))
-        if not len(a0):
-            continue
-        am, bm = middle(a0, a1, bit), middle(b0, b1, bit)
-        same = (a0 == b0) & (a1 == b1)
-        parts = []
-        for p0, p1, q0, q1, extra, only in ((a0, am, b0, bm, 0, None), (am, a1, bm, b1, 0, None), (a0, am, bm, b1, 1, None), (am, a1, b0, bm, 1, ~same)):
-            ok = (p1 > p0) & (q1 > q0) & (diff + extra <= max_bits)
-            if only is not None:
-                ok &= only
-            parts.append((p0[ok], p1[ok], q0[ok], q1[ok], bit[ok] - 1, diff[ok] + extra))
-        stack.append(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
+        a0, a1, b0, b1, below, diff = (x[apart] for x in (a0, a1, b0, b1, below, diff))
+        if len(a0):
+            bit = np.bitwise_count(below).astype(np.int64) - 1
+            stack.append(_children(a0, a1, middle(a0, a1, bit), b0, b1, middle(b0, b1, bit), diff, max_bits))
     top = find(np.arange(n))
     linked = top != np.arange(n)
     return fps[linked], fps[top[linked]]
 
 
 class _Roots:
-    """(fp, mask) becomes (fp, finer mask) once for each way to choose the two blocks of free bits that must agree."""
+    """(fp, mask) becomes (fp, finer mask) once for each way to choose the blocks of free bits that must agree."""
 
     def __init__(self, max_bits: int):
         self.max_bits = max_bits
@@ -189,7 +198,7 @@ class _Roots:
             fp, mask = b.column("fp").to_numpy(), b.column("mask").to_numpy()
             for m in np.unique(mask).tolist():
                 if m not in finer:
-                    finer[m] = np.array([m | f for f in _roots(self.max_bits, ~m)], np.int64)
+                    finer[m] = np.array([m | f for f in _roots(self.max_bits, ~m, 2 if m else 1)], np.int64)
                 own = fp[mask == m]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(finer[m]))), pa.array(np.tile(finer[m], len(own)))], names=["fp", "mask"])
 
@@ -199,7 +208,7 @@ def links(distinct: DataFrame, max_bits: int = 4, most: int = 8192) -> DataFrame
     spark = distinct.sparkSession
     keyed_schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("mask", T.LongType())])
     link_schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo = distinct.select("fp", F.lit(0).cast("bigint").alias("mask"))
     out: list[DataFrame] = []
     while True:
@@ -209,6 +218,7 @@ def links(distinct: DataFrame, max_bits: int = 4, most: int = 8192) -> DataFrame
         hot = saved(hot, "hot-roots")
         last = hot.isEmpty()
         own = todo if last else todo.join(hot, ["mask", "key"], "left_anti")
+        parts = max(least, -(-own.count() // _PART))
         out.append(own.select("fp", "mask", "key").repartition(parts, "mask", "key").mapInArrow(_Join(max_bits), link_schema))
         if last:
             break
@@ -220,7 +230,7 @@ def links(distinct: DataFrame, max_bits: int = 4, most: int = 8192) -> DataFrame
 
 
 class _Join:
-    """Joins all tries of a partition at once."""
+    """Joins the tries of a partition."""
 
     def __init__(self, max_bits: int):
         self.max_bits = max_bits
@@ -232,10 +242,26 @@ class _Join:
         fp, mask, key = (np.concatenate(x) for x in zip(*got, strict=True))
         _, root = np.unique(np.stack([mask, key]), axis=1, return_inverse=True)
         root = root.ravel()
-        count = np.bincount(root)
-        many = count[root] > 1
-        src, dst = trie_links(fp[many].view(np.uint64), root[many], self.max_bits)
-        yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["src", "dst"])
+        order = np.argsort(root, kind="stable")
+        root = root[order]
+        fp = fp[order].view(np.uint64)
+        begins = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
+        # whole tries, some at a time
+        cuts = begins[np.flatnonzero(np.diff(begins // _TOGETHER, prepend=-1))]
+        for a, b in zip(cuts, [*cuts[1:], len(root)], strict=True):
+            src, dst = trie_links(fp[a:b], root[a:b], self.max_bits)
+            if len(src):
+                yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["src", "dst"])
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined with right, one row a key with ``n``: how many of left's ``total`` rows have the key.
+
+    At most ``_HOT`` keys can have more than total / _HOT rows; their rows of right are sent to the workers.
+    """
+    is_hot = F.col("n") > max(_FEW, -(-total // _HOT))
+    hot, cold = F.broadcast(right.where(is_hot).drop("n")), right.where(~is_hot).drop("n")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,12 +275,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = saved(_met(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # small star: u > v always holds here
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = saved(small, "stars")
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = _met(large, low, "u", before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        last, edges = edges, saved(small, "stars")
+        forget(last, least, large, low)
         after = mark(edges)
         if after == before:
             break
@@ -263,20 +290,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _components(prints: DataFrame, max_bits: int, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """((fp, root) of every fingerprint, (root, component_id): the smallest id of each component)."""
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
+    """((fp, root, n) of every fingerprint with its n rows, (root, component_id, n): the smallest id of each component with its n fingerprints)."""
+    distinct = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = saved(named, "roots")
-    return named.select("fp", "root"), named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.select("fp", "root", "n"), saved(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest-ids")
 
 
 def group(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id."""
     prints = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
     named, least = _components(prints, max_bits, id_col)
-    ids = named.join(least, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows, fps = named.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ids = _met(named.select("fp", "root", F.col("n").alias("rows")), least, "root", fps).select("fp", "component_id", F.col("rows").alias("n"))
+    return _met(prints, saved(ids, "component-ids"), "fp", rows).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
