@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.loops import forget, scratch, written as saved
 
-__all__ = ["arrow_map", "field_type", "forget", "pieces", "replaced", "saved", "scratch", "table", "texts"]
+__all__ = ["arrow_map", "field_type", "forget", "met", "pieces", "replaced", "saved", "scratch", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +61,16 @@ def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBat
     i = batch.schema.get_field_index(name)
     arrays = [values if k == i else batch.column(k) for k in range(batch.num_columns)]
     return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+
+_HOT, _FEW = 2000, 100
+
+
+def met(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined with right, one row a key with ``n``: how many of left's ``total`` rows have the key.
+
+    At most ``_HOT`` keys can have more than total / _HOT rows; their rows of right are sent to the workers.
+    """
+    is_hot = F.col("n") > max(_FEW, -(-total // _HOT))
+    hot, cold = F.broadcast(right.where(is_hot).drop("n")), right.where(~is_hot).drop("n")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))

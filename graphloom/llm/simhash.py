@@ -38,13 +38,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, field_type, forget, saved, texts
+from .common import arrow_map, field_type, forget, met, saved, texts
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _CHUNK = 1 << 18
 _PART = 500_000  # rows for each task that joins tries
 _TOGETHER = 1 << 15
-_HOT, _FEW = 2000, 100
 _FEW_BITS = 13  # a root with no more free bits holds 8192 fingerprints at most and isn't split
 
 
@@ -254,16 +253,6 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["src", "dst"])
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """left joined with right, one row a key with ``n``: how many of left's ``total`` rows have the key.
-
-    At most ``_HOT`` keys can have more than total / _HOT rows; their rows of right are sent to the workers.
-    """
-    is_hot = F.col("n") > max(_FEW, -(-total // _HOT))
-    hot, cold = F.broadcast(right.where(is_hot).drop("n")), right.where(~is_hot).drop("n")
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (src, dst) can reach, by large-star and small-star."""
     edges = saved(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
@@ -276,10 +265,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        large = saved(_met(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = saved(met(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # small star: u > v always holds here
         low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
-        small = _met(large, low, "u", before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = met(large, low, "u", before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         last, edges = edges, saved(small, "stars")
         forget(last, least, large, low)
         after = mark(edges)
@@ -303,8 +292,8 @@ def group(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc
     prints = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
     named, least = _components(prints, max_bits, id_col)
     rows, fps = named.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    ids = _met(named.select("fp", "root", F.col("n").alias("rows")), least, "root", fps).select("fp", "component_id", F.col("rows").alias("n"))
-    return _met(prints, saved(ids, "component-ids"), "fp", rows).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = met(named.select("fp", "root", F.col("n").alias("rows")), least, "root", fps).select("fp", "component_id", F.col("rows").alias("n"))
+    return met(prints, saved(ids, "component-ids"), "fp", rows).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

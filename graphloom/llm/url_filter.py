@@ -14,8 +14,10 @@ lies in proportion to their deviations. Without held-out urls of both kinds the
 of one kind, everything else is allowed.
 
 How it scales: urls are made distinct first, so a hot url or host is one row or few; counts are map-side combined over
-(context, character); back-off tables come from the longest grams by further grouping; scores come from one join of the
-urls' grams. Log ratios are rounded to 1e-9 and summed as integers, so results don't depend on the order of rows.
+(context, character) and written once; back-off tables come from the longest grams by further grouping, each written
+before the next; scores come from one join of the urls' grams, for which grams with over 1/2000 of all characters are
+sent to the workers, as is the verdict of a url with over 1/2000 of all rows. Log ratios are rounded to 1e-9 and summed
+as integers, so results don't depend on the order of rows.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by its characters like any
 other (null: as an empty text); repeated rows all get their verdict; an empty table gives an empty result; other columns
@@ -29,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import met, saved
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START, END = "\x02", "\x03"
 UNIT = 1_000_000_000
@@ -55,10 +59,14 @@ def rule_of(host: Column, path: Column, allow: Sequence[str], block: Sequence[st
 
 
 def _grams(urls: DataFrame, order: int) -> DataFrame:
-    """One row per character: its gram of order + 1 characters, padded with start marks, ended by an end mark."""
-    padded = F.concat(F.lit(START * order), F.coalesce("url", F.lit("")), F.lit(END))
-    at = F.explode(F.sequence(F.lit(1), F.length(F.coalesce("url", F.lit(""))) + 1)).alias("at")
-    return urls.select("*", padded.alias("padded"), at).withColumn("gram", F.substring(F.col("padded"), F.col("at"), F.lit(order + 1))).drop("padded", "at")
+    """One row per character: its gram of order + 1 characters, padded with start marks, ended by an end mark, and all
+    columns but ``url``: what a row carries doesn't grow with its url."""
+    letters = F.split(F.concat(F.lit(START * order), F.coalesce("url", F.lit("")), F.lit(END)), "")
+    # a column of its own (used several times, so it isn't folded into the next expression): split once a url
+    split = urls.withColumn("__gl_letters", letters).drop("url")
+    gram = lambda i: F.concat(*(F.get("__gl_letters", i + k) for k in range(order + 1)))
+    grams = F.transform(F.sequence(F.lit(0), F.size("__gl_letters") - order - 1), gram)
+    return split.select(*(c for c in urls.columns if c != "url"), F.explode(grams).alias("gram"))
 
 
 def _model(counts: DataFrame, order: int) -> DataFrame:
@@ -72,7 +80,7 @@ def _model(counts: DataFrame, order: int) -> DataFrame:
         )
         tables.append(level.withColumn("ctx", F.substring("gram", 1, k)).join(context, "ctx"))
         if k:
-            level = level.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+            level = saved(level.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "shorter-grams")
     flat = F.lit(1.0 / max(1, chars))
 
     def mixed(x: str, below: Column) -> Column:
@@ -83,27 +91,30 @@ def _model(counts: DataFrame, order: int) -> DataFrame:
     for k in range(1, order + 1):
         lower = probs.select(F.col("gram").alias("short"), F.col("pa").alias("la"), F.col("pb").alias("lb"))
         at = tables[order - k].withColumn("short", F.substring("gram", 2, k))
-        probs = at.join(lower, "short").select("gram", mixed("a", F.col("la")).alias("pa"), mixed("b", F.col("lb")).alias("pb"))
+        probs = saved(at.join(lower, "short").select("gram", mixed("a", F.col("la")).alias("pa"), mixed("b", F.col("lb")).alias("pb")), "probabilities")
     return probs.select("gram", F.round((F.log("pa") - F.log("pb")) * UNIT).cast("long").alias("ratio"))
 
 
 def judge(pages: DataFrame, allow: Sequence[str], block: Sequence[str], order: int = 4, folds: int = 5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of every row."""
-    rows = pages.select(id_col, F.col(url_col).alias("__gl_url"))
-    urls = rows.select("__gl_url").distinct()
+    rows = pages.select(id_col, F.coalesce(F.col(url_col), F.lit(START)).alias("key"), F.col(url_col).alias("__gl_url"))
+    urls = rows.groupBy("key").agg(F.first("__gl_url").alias("__gl_url"), F.count(F.lit(1)).alias("n"))
     host, path = host_and_path(F.col("__gl_url"))
-    urls = urls.select("__gl_url", host.alias("host"), path.alias("path"))
+    urls = urls.select("key", "__gl_url", "n", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), allow, block)
-    urls = urls.select("__gl_url", "host", "path", rule.alias("rule"), verdict.alias("said"))
+    # written with a number, which stands for the url wherever its grams are counted
+    urls = saved(urls.select(F.monotonically_increasing_id().alias("number"), "key", "__gl_url", "n", "host", "path", rule.alias("rule"), verdict.alias("said")), "urls")
     held = F.conv(F.substring(F.md5(F.coalesce("__gl_url", F.lit(""))), 1, 7), 16, 10).cast("long") % folds == 0
-    known = urls.select(F.col("__gl_url").alias("url"), "said", (F.col("said").isNotNull() & held).alias("held"))
     # the model reads urls without their scheme: it says nothing about them
-    known = known.withColumn("key", F.col("url")).withColumn("url", F.expr("substring(url, instr(url, '://') + if(instr(url, '://') > 0, 3, 1))"))
+    bare = F.expr("substring(__gl_url, instr(__gl_url, '://') + if(instr(__gl_url, '://') > 0, 3, 1))")
+    known = urls.select("number", "said", (F.col("said").isNotNull() & held).alias("held"), bare.alias("url"))
     grams = _grams(known, order)
     learn = F.col("said").isNotNull() & ~F.col("held")
-    counts = grams.groupBy("gram").agg(F.count_if(learn & (F.col("said") == "allow")).alias("a"), F.count_if(learn & (F.col("said") == "block")).alias("b"))
-    judged = grams.where("said IS NULL OR held").join(_model(counts, order), "gram")
-    scores = judged.groupBy("key", "said").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    counts = saved(grams.groupBy("gram").agg(F.count_if(learn & (F.col("said") == "allow")).alias("a"), F.count_if(learn & (F.col("said") == "block")).alias("b"), F.count(F.lit(1)).alias("n")), "url-grams")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = saved(_model(counts.select("gram", "a", "b"), order).join(counts.select("gram", "n"), "gram"), "gram-ratios")
+    judged = met(grams.where("said IS NULL OR held"), model, "gram", total)
+    scores = saved(judged.groupBy("number", "said").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score")), "url-scores")
     fit = scores.agg(
         *(F.avg(F.when(F.col("said") == v, F.col("score"))).alias(f"m{x}") for v, x in (("allow", "a"), ("block", "b"))),
         *(F.stddev_pop(F.when(F.col("said") == v, F.col("score"))).alias(f"s{x}") for v, x in (("allow", "a"), ("block", "b"))),
@@ -114,7 +125,7 @@ def judge(pages: DataFrame, allow: Sequence[str], block: Sequence[str], order: i
         F.round(F.coalesce(F.when(F.col("sa") + F.col("sb") > 0, (F.col("ma") * F.col("sb") + F.col("mb") * F.col("sa")) / (F.col("sa") + F.col("sb"))), (F.col("ma") + F.col("mb")) / 2, F.lit(0.0))).alias("threshold"),
     )
     limit = F.broadcast(limit)  # one row
-    model = scores.where("said IS NULL").crossJoin(limit).select(F.coalesce("key", F.lit(START)).alias("key"), F.when(F.col("untrained") | (F.col("score") >= F.col("threshold")), "allow").otherwise("block").alias("guess"))
-    done = urls.withColumn("key", F.coalesce("__gl_url", F.lit(START))).join(model, "key", "left")
-    done = done.select("key", "host", "path", "rule", F.coalesce("said", "guess").alias("verdict"))
-    return rows.withColumn("key", F.coalesce("__gl_url", F.lit(START))).join(done, "key").select(id_col, "host", "path", "rule", "verdict")
+    guessed = scores.where("said IS NULL").crossJoin(limit).select("number", F.when(F.col("untrained") | (F.col("score") >= F.col("threshold")), "allow").otherwise("block").alias("guess"))
+    done = saved(urls.join(guessed, "number", "left").select("key", "host", "path", "rule", F.coalesce("said", "guess").alias("verdict"), "n"), "verdicts")
+    count = done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return met(rows.select(id_col, "key"), done, "key", count).select(id_col, "host", "path", "rule", "verdict")

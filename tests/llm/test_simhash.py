@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm import queries, simhash
+from graphloom.llm import common, queries, simhash
 
 from .test_text_operators import DATA, brute_components
 
@@ -53,8 +53,8 @@ def test_any_two_within_the_budget_share_a_root():
 
 def test_hubs_and_hot_fingerprints(spark, monkeypatch):
     """Keys with many rows take another way and change nothing."""
-    monkeypatch.setattr(simhash, "_FEW", 3)
-    monkeypatch.setattr(simhash, "_HOT", 5)
+    monkeypatch.setattr(common, "_FEW", 3)
+    monkeypatch.setattr(common, "_HOT", 5)
     r = random.Random(2)
     rows = [(0, i) for i in range(1, 60)] + [(100, 200 + i) for i in range(50)] + [(59, 100), (500, 501)]
     r.shuffle(rows)

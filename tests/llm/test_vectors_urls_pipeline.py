@@ -197,3 +197,15 @@ def test_stages_keep_the_columns(spark, awkward, nothing):
             out = stage(spark, docs, DATA)
             assert out.columns == docs.columns, name
             out.count()
+
+
+def test_hot_grams_and_very_long_urls(spark, monkeypatch):
+    from graphloom.llm import common
+
+    rows = [(i, f"https://good{i % 7}.example.net/en/{i}") for i in range(40)] + [(100 + i, f"https://spam{i % 5}.example.com/de/{i}") for i in range(40)] + [(900, "https://good3.host.io/en/5"), (901, "https://x.io/" + "spam/de/" * 20_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = {r.page_id: r.verdict for r in url_filter.judge(df, queries.URL_ALLOW, queries.URL_BLOCK).collect()}
+    monkeypatch.setattr(common, "_FEW", 2)
+    monkeypatch.setattr(common, "_HOT", 50)
+    assert {r.page_id: r.verdict for r in url_filter.judge(df, queries.URL_ALLOW, queries.URL_BLOCK).collect()} == want
+    assert len(want) == 82 and (want[900], want[901]) == ("allow", "block")
