@@ -2,7 +2,7 @@
 
 Words are maximal runs of anything but ASCII white space. A line fails if any rule says so:
 
-* punctuation: no word of the line ends a sentence (``.``, ``!``, ``?``, ``…`` and closing marks after them);
+* punctuation: no word of the line ends a sentence (``ENDS``, of many scripts, and ``CLOSINGS`` after them);
 * navigation: separators such as ``|`` or ``»`` stand as words of their own, three or more and at least
   ``max_separator_share`` of the words;
 * symbols: at least ``max_symbol_share`` of three or more words hold one of ``#*$%&|<>``;
@@ -30,7 +30,12 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, field_type, replaced, texts
 
-_END = re.compile(rb"(?:[.!?]|\xe2\x80\xa6)(?:[\"')\]]|\xc2\xbb|\xe2\x80[\x99\x9d\x9c])*(?:[\x20\x09-\x0d]|$)")
+#: Marks that end a sentence: Latin, CJK (full and half width), Devanagari, Arabic, Urdu, Ethiopic, Armenian, Khmer, Burmese.
+ENDS = ".!?…。！？．｡।॥؟۔።։။"
+#: Marks that may close it.
+CLOSINGS = "\"')]»’”“」』）】》"
+_any = lambda marks: b"(?:" + b"|".join(re.escape(c.encode()) for c in marks) + b")"
+_END = re.compile(_any(ENDS) + _any(CLOSINGS) + rb"*(?:[\x20\x09-\x0d]|$)")
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _SEPARATORS = {s.encode() for s in ("|", "||", "»", "«", "›", "‹", "•", "·", ">", "<", ">>", "<<", "/", "→")}
 _SYMBOLS = "#*$%&|<>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import LineRules
+from .quality_rules import CLOSINGS, ENDS, LineRules
 
 ORACLES: dict[str, str] = {}
 
@@ -105,7 +105,8 @@ def _quality_rules(rules: LineRules = LineRules()) -> str:
     word = r"'[^\x20\x09-\x0D]+'"
     bars = "['|', '||', '»', '«', '›', '‹', '•', '·', '>', '<', '>>', '<<', '/', '→']"
     phrases = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in rules.boilerplate) + "]"
-    end = r"""'[.!?…]["'')\]»’”“]*(?:[\x20\x09-\x0D]|$)'"""
+    closings = "".join("\\" + c if c in "]" else "''" if c == "'" else c for c in CLOSINGS)
+    end = f"'[{ENDS}][{closings}]*(?:[\\x20\\x09-\\x0D]|$)'"
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {word}) AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
