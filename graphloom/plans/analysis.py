@@ -153,8 +153,15 @@ _DRIFT = f"""{W}
 , d2 AS MATERIALIZED (SELECT * FROM d WHERE abs(velocity) > 0.001 OR is_modified)
 , mv AS MATERIALIZED (SELECT p.id AS from_id, c.id AS to_id, c.name, c.file, c.gravity FROM n2 c JOIN n1 p ON c.fingerprint = p.fingerprint AND c.id <> p.id WHERE c.id NOT IN (SELECT id FROM n1))"""
 add("drift", weeks(lambda a, b, c, d: history.drift(a, c)), _DRIFT + " SELECT * FROM d2", A)
-add("moves", weeks(lambda a, b, c, d: history.moves(a.withColumn("fingerprint", F.col("complexity").cast("string")), c.withColumn("fingerprint", F.col("complexity").cast("string"))).where("file = 'user/25' OR from_id LIKE 'user::2%'")),
-    f"{W} SELECT p.id AS from_id, c.id AS to_id, c.name, c.file, c.gravity FROM n2 c JOIN n1 p ON c.complexity = p.complexity AND c.id <> p.id WHERE c.id NOT IN (SELECT id FROM n1) AND (c.file = 'user/25' OR p.id LIKE 'user::2%')", A)
+def _shaped(nodes):
+    """A fingerprint of what a node looks like, without its names."""
+    return nodes.withColumn("fingerprint", F.concat_ws("|", "complexity", "tenure_days", "author_count", "semantic_kind"))
+
+
+add("moves", weeks(lambda a, b, c, d: history.moves(_shaped(a), _shaped(c))),
+    f"""{W} SELECT p.id AS from_id, c.id AS to_id, c.name, c.file, c.gravity FROM n2 c JOIN n1 p
+ON c.complexity = p.complexity AND c.tenure_days = p.tenure_days AND c.author_count = p.author_count AND c.semantic_kind = p.semantic_kind AND c.id <> p.id
+WHERE c.id NOT IN (SELECT id FROM n1)""", A)
 add("drift_summary", weeks(lambda a, b, c, d: history.drift_summary(a, c)), _DRIFT + """
 SELECT CASE WHEN coalesce(max(velocity), 0) > 0.05 THEN 'DECAYING' ELSE 'STABLE' END AS status, (SELECT count(*) FROM d) AS total_symbols, CAST(count_if(velocity > 0) AS BIGINT) AS decay_count, CAST(count_if(velocity < 0) AS BIGINT) AS improvement_count, (SELECT count(*) FROM mv) AS move_count FROM d2""", A)
 add("regression_guard", weeks(lambda a, b, c, d: history.guard(a, c)), _DRIFT + """
@@ -291,7 +298,9 @@ add("column_occupancy", containment(lambda n, e: metrics.column_occupancy(n, ["p
 , s AS (SELECT count(*) AS total, count(parent_id) AS a, count(unit_id) AS b, count(file) AS c, count(structure_id) AS d FROM cn)
 SELECT 'parent_id' AS column_name, a AS filled, total FROM s UNION ALL SELECT 'unit_id', b, total FROM s UNION ALL SELECT 'file', c, total FROM s UNION ALL SELECT 'structure_id', d, total FROM s""", ("cn",))
 add("broken_parents", activity(lambda n, e: diagnostics.broken_parents(n)), f"{W} SELECT id, parent_id FROM n2 WHERE parent_id NOT IN (SELECT id FROM n2)", A)
-add("disconnected_nodes", containment(diagnostics.disconnected), " SELECT id, canonical_kind FROM cn WHERE id NOT IN (SELECT source_id FROM ce) AND id NOT IN (SELECT target_id FROM ce)", C)
+# by membership alone: parts are no one's members, so they hang on nothing
+add("disconnected_nodes", containment(lambda n, e: diagnostics.disconnected(n, e.where("type = 'MEMBER_OF'"))), """
+SELECT id, canonical_kind FROM cn WHERE id NOT IN (SELECT source_id FROM ce WHERE type = 'MEMBER_OF') AND id NOT IN (SELECT target_id FROM ce WHERE type = 'MEMBER_OF')""", C)
 add("id_collisions", lambda s, d: diagnostics.id_collisions(s.read.parquet(f"{d}/lineitem.parquet").select(F.lit("x").alias("snapshot_id"), F.concat_ws("::", "l_orderkey", "l_linenumber").alias("id"))), "SELECT 'x' AS snapshot_id, l_orderkey || '::' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 add("illegal_parents", containment(lambda n, e: diagnostics.illegal_parents(n)), " SELECT id, 'no_parent' AS fault FROM cn WHERE canonical_rank >= 4 AND parent_id IS NULL", ("cn",))
 add("stale_edges", lambda s, d: diagnostics.stale_edges(graph(s, d, "ae"), "w2"), " SELECT snapshot_id, count(*) AS n FROM ae WHERE snapshot_id <> 'w2' GROUP BY 1", A)

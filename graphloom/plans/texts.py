@@ -15,7 +15,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 SOURCES = [
-    ("src/runner.py", "import os\nfrom app.util import helper\n\nclass MapperRunner:\n    def explore(self):\n        if helper(1) and os.path(2):\n            return Thing()  # TODO later\n\ndef main():\n    run(MapperRunner())\n"),
+    ("src/runner.py", "import os\nfrom app.util import helper\n\nclass LoomRunner:\n    def explore(self):\n        if helper(1) and os.path(2):\n            return Thing()  # TODO later\n\ndef main():\n    run(LoomRunner())\n"),
     ("src/app/util.py", "def helper(x):\n    # FIXME: slow\n    for i in range(x):\n        print(i)\n    return x\n"),
     ("src/index.ts", "import { start } from './feature'\nexport const x = 1;\nexport class IndexService {\n  function go() { return start(x); }\n}\n"),
     ("src/feature.ts", "export function start() {\n  console.log(\"Init\");\n  const y = x ? 1 : 2;\n  return fetch('/api/users/7');\n}\n"),

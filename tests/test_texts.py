@@ -40,7 +40,7 @@ def test_jaccard_and_naming(spark):
 def test_taxonomy(spark):
     kinds = [r.v for r in spark.createDataFrame([("Class",), ("method",), ("zzz",), (None,)], "k string").select(taxonomy.canonical_kind(F.col("k")).alias("v")).collect()]
     assert kinds == ["STRUCTURE", "BEHAVIOR", "ATOM", None]
-    assert one(spark, taxonomy.is_infra_name(F.lit("MapperRunner")))
+    assert one(spark, taxonomy.is_infra_name(F.lit("LoomRunner")))
 
 
 def test_visibility_and_docs(spark):
@@ -60,9 +60,9 @@ def test_complexity_of_languages(spark):
 
 
 def test_snippet_promotes_infra_and_finds_methods(spark):
-    src = spark.createDataFrame([("m.py", "class MapperRunner:\n    def explore(self):\n        go()\n")], "path string, source string")
+    src = spark.createDataFrame([("m.py", "class LoomRunner:\n    def explore(self):\n        go()\n")], "path string, source string")
     got = {r.name: (r.canonical_kind, r.parent_id) for r in X.symbols(src).collect()}
-    assert got["MapperRunner"] == ("INFRA", None) and got["MapperRunner.explore"] == ("BEHAVIOR", "m.py::unit::MapperRunner")
+    assert got["LoomRunner"] == ("INFRA", None) and got["LoomRunner.explore"] == ("BEHAVIOR", "m.py::unit::LoomRunner")
 
 
 def test_blame_and_assignments(spark):
