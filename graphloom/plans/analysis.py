@@ -344,3 +344,10 @@ WITH h AS (SELECT DISTINCT lower(regexp_replace(unnest(regexp_extract_all(html,
 , p AS (SELECT id, string_split(id, '::') AS p FROM h), s AS (SELECT id, CASE WHEN len(p) >= 2 THEN p[1] ELSE 'unresolved' END AS ns, CASE WHEN len(p) >= 2 THEN p[2] ELSE id END AS sym FROM p WHERE CASE WHEN len(p) >= 2 THEN p[1] IN ('global', 'npm', 'std', 'pip', 'gem', 'mvn', 'go', 'crates') ELSE NOT starts_with(id, '/') AND NOT starts_with(id, 'c:\\') END)
 SELECT id, sym AS name, 'lib::' || ns AS parent_id, CAST(7 AS INTEGER) AS canonical_rank FROM s UNION ALL SELECT DISTINCT 'lib::' || ns, ns, NULL, 1 FROM s""")
 add("directory_clustering", activity(lambda n, e: clustering.cluster_files(n.withColumn("file", F.concat(F.lit("src/lib/"), "file", F.lit("/"), "name")), e)))
+
+_BARE = "regexp_replace(target_id, '^user::', '')"
+add("prefix_local_targets", activity(lambda n, e: linking.prefix_local_targets(n, e.withColumn("target_id", F.expr(_BARE))).select("id", "target_id")), f"""{W}
+SELECT id, CASE WHEN 'user::' || lower({_BARE}) IN (SELECT id FROM n2) THEN 'user::' || lower({_BARE}) ELSE {_BARE} END AS target_id FROM e2""", A)
+add("gravity_from_energy", activity(lambda n, e: linking.set_gravity(n, G.energy(e).select("id", F.col("energy").cast("double").alias("gravity"))).select("id", F.round("gravity", 9).alias("gravity"))), f"""{W}
+, ends AS (SELECT source_id AS id, 1 AS w FROM e2 UNION ALL SELECT target_id, 2 FROM e2), rolled AS (SELECT id, CAST(sum(w) AS DOUBLE) AS energy FROM ends GROUP BY id)
+SELECT n2.id, round(coalesce(energy, gravity), 9) AS gravity FROM n2 LEFT JOIN rolled USING (id)""", A)
