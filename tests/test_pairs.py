@@ -50,20 +50,33 @@ def test_cochange_of_nothing(spark):
     assert history.cochange(spark.createDataFrame([("h", "a"), ("h", "b")], none.schema), 0).collect() == [Row(file_a="a", file_b="b", n=1)]
 
 
+def _written(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def _mass(spark):
+    return spark.range(1500).selectExpr("explode(sequence(1, 5)) AS c", "id").selectExpr("'c' || c AS hash", "'p' || id AS path")
+
+
 def test_mass_commits_are_not_spread_into_pairs(spark):
     """Five commits of 1500 paths: 1.1 million pairs, which were rows of the shuffle."""
-    rows = spark.range(1500).selectExpr("explode(sequence(1, 5)) AS c", "id").selectExpr("'c' || c AS hash", "'p' || id AS path")
+    before = _written(spark)
+    found = [tuple(r) for r in history.cochange(_mass(spark), 3, 3).collect()]
+    assert found == [("p0", "p1", 5), ("p0", "p10", 5), ("p0", "p100", 5)]
+    assert _written(spark) - before < 1_000_000
 
-    def written():
-        sc = spark.sparkContext._jsc.sc()
-        sc.listenerBus().waitUntilEmpty(30_000)
-        executors = sc.statusStore().executorList(False)
-        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
-    before = written()
-    found = [tuple(r) for r in history.cochange(rows, 3, 3).collect()]
-    assert found == [("p0", "p1", 5), ("p0", "p10", 5), ("p0", "p100", 5)]
-    assert written() - before < 1_000_000
+def test_hidden_coupling_of_mass_commits(spark):
+    """The same commits against a graph that links p10 and p0: that pair goes, whichever way its edge points."""
+    nodes = spark.createDataFrame([(f"n{i}", f"p{i}") for i in (0, 1, 10)], "id string, file string")
+    edges = spark.createDataFrame([("n10", "n0"), ("n1", "n1")], "source_id string, target_id string")
+    before = _written(spark)
+    found = {tuple(r) for r in history.hidden_coupling(_mass(spark), nodes, edges, 3, 3).collect()}
+    assert found == {("p0", "p1", 0.5), ("p0", "p100", 0.5)}
+    assert _written(spark) - before < 1_000_000
 
 
 @pytest.mark.parametrize("dense", [0, 1 / 256, 2])
