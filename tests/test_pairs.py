@@ -79,6 +79,56 @@ def test_hidden_coupling_of_mass_commits(spark):
     assert _written(spark) - before < 1_000_000
 
 
+class _Held:
+    """Settings within a block."""
+
+    def __init__(self, spark, **conf):
+        self.spark, self.conf = spark, {f"spark.sql.{k}": v for k, v in conf.items()}
+
+    def __enter__(self):
+        self.was = {k: self.spark.conf.get(k) for k in self.conf}
+        for k, v in self.conf.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_):
+        for k, v in self.was.items():
+            self.spark.conf.set(k, v)
+
+
+def _records(spark):
+    """Rows that each stage so far has written for a shuffle."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("parts", ["40", "46"])
+@pytest.mark.parametrize("limit", [None, 7, 100_000])
+def test_blocks_are_dealt_in_rounds(spark, parts, limit):
+    """10 and 11 blocks: every pair of them meets once, and no round sends a path more than eight times."""
+    rows = _commits(seed=2, paths=150)
+    commits = spark.createDataFrame(rows, "hash string, path string").coalesce(1)
+    before = _records(spark)
+    with _Held(spark, **{"shuffle.partitions": parts}):
+        found = [tuple(r) for r in history.cochange(commits, 0, limit).collect()]
+    want = _plain(rows, 1, limit)
+    assert (sorted(found) if limit is None else found) == (sorted(want) if limit is None else want)
+    if limit is None:  # else the first pairs of a round are written too
+        assert max(n for k, n in _records(spark).items() if k not in before) <= 8 * 150
+
+
+def test_hidden_coupling_looks_up_its_pairs_only(spark):
+    """A graph of 60,000 nodes and edges beside three pairs: it is not sent around to be joined."""
+    nodes = spark.range(60_000).selectExpr("'n' || id AS id", "'p' || id AS file")
+    edges = spark.range(60_000).selectExpr("'n' || (id + 10) % 60000 AS source_id", "'n' || id AS target_id")
+    before = _records(spark)
+    with _Held(spark, **{"autoBroadcastJoinThreshold": "256k"}):
+        found = {tuple(r) for r in history.hidden_coupling(_mass(spark), nodes, edges, 3, 3).collect()}
+    assert found == {("p0", "p1", 0.5), ("p0", "p100", 0.5)}
+    assert sum(n for k, n in _records(spark).items() if k not in before) < 60_000
+
+
 @pytest.mark.parametrize("dense", [0, 1 / 256, 2])
 def test_tiles_by_product_and_by_list(monkeypatch, dense):
     """Small tiles and chunks, all groups by the product, some, or none."""
