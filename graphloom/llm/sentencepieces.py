@@ -5,8 +5,9 @@ byte fallback. Composed with an input it is a lattice: its states are (position,
 one character that no piece holds (which writes its UTF-8 bytes' pieces). Weights are in the tropical semiring. A
 merge-based (BPE) model has no additive piece weights that give its segmentation, so an arc weighs 0 where its piece may
 follow the last one and infinity where merging would not have left the two side by side; the text's segmentation is the
-one whose neighbours are all compatible, hence the only path of finite weight, and it is the shortest path. Summing the
-scores in the file instead would be the unigram rule and gives other ids than the library; tests hold the ids against it.
+one whose neighbours are all compatible, hence the only path of finite weight, and it is the shortest path. It is looked
+for depth first, the longest piece first, and a state that leads nowhere is entered once. Summing the scores in the file
+instead would be the unigram rule and gives other ids than the library; tests hold the ids against it.
 
 No piece holds U+2581 behind another character and none holds a line feed, so (checked when compiled) segmentation never
 crosses these, inputs are cut there, and each worker keeps the paths of chunks that it has seen, a bounded number.
@@ -19,8 +20,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 import struct
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -93,6 +96,10 @@ def read_model(data: bytes) -> Model:
     return model
 
 
+#: The only arc where no piece begins: one character, written as bytes.
+_ALONE = ((-1, 1),)
+
+
 class Transducer:
     def __init__(self, model: Model):
         self.model = model
@@ -104,62 +111,92 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p in usable) or any("\n" in p and len(p) > 1 for p in usable):
             raise ValueError("pieces cross the places where inputs are cut")
         self.longest = max(map(len, usable))
-        self.follows: dict[tuple[str, str], bool] = {}
-        # a piece that merging can't build is never part of a path
-        self.ids = {p: i for p, (i, _) in usable.items() if len(p) == 1 or self._merged(p) == [p]}
+        self.merges: dict[int, tuple] = {}
+        # the pieces' trie: what follows by character, at "" the arcs of all pieces up to here, (piece, characters), longest first
+        self.root: dict = {}
+        for p, (i, _) in sorted(usable.items(), key=lambda x: len(x[0])):
+            parts, merges = self._merged(p)
+            if len(parts) == 1:  # a piece that merging can't build is never part of a path
+                self.merges[i] = merges
+                self._grow(p, i)
+        self.root[""] = _ALONE
+        self.follows = _Follows(self)
         self.paths = _Paths(self)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
+        self.labels = [struct.pack("<i", i) for i in range(len(model.pieces))]
         self.written = [b"" if kind in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in model.pieces]
 
-    def _merged(self, text: str) -> list[str]:
-        """What merging the best-scored neighbours, leftmost first, leaves of a short text."""
-        parts = list(text)
+    def _merged(self, text: str) -> tuple[list[str], tuple]:
+        """What merging the best-scored neighbours, leftmost first, leaves of a short text; and for each merge, one after
+        the other, its score, the first and the last part before it (minus infinity and what is left at the end)."""
+        parts, merges = list(text), []
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = self.score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
+            merges += (-math.inf if best is None else best, parts[0], parts[-1])
             if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def _may_follow(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        found = self.follows.get(key)
-        if found is None:
-            if len(self.follows) >= _REMEMBERED:
-                self.follows.clear()
-            found = self.follows[key] = self._merged(last + piece) == [last, piece]
-        return found
-
-    def path(self, chunk: str) -> list[int]:
-        """The output labels of the shortest path through the lattice of a chunk."""
-        n = len(chunk)
-        # the last piece of each position's only finite path ("" for a character written as bytes), and where it began
-        last: list[str | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        last[0] = ""
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                before = last[start]
-                if before is None:
-                    continue
-                piece = chunk[start:end]
-                if piece in self.ids:
-                    if before == "" or self._may_follow(before, piece):
-                        last[end], back[end] = piece, start
+                return parts, tuple(merges)
+            parts[at : at + 2] = [sys.intern(parts[at] + parts[at + 1])]
+
+    def _grow(self, piece: str, i: int) -> None:
+        """Pieces come by length, so that a node has its arcs before longer pieces pass it."""
+        node, arcs = self.root, _ALONE
+        for c in piece:
+            node = node.setdefault(c, {})
+            arcs = node.setdefault("", arcs)
+        node[""] = ((i, len(piece)), *(arcs if len(piece) > 1 else ()))
+
+    def may_follow(self, last: int, piece: int) -> bool:
+        """Whether merging leaves two pieces side by side: the merges of both take turns, the best score and then the
+        leftmost first, and none of the parts that meet between them is better."""
+        left, right = self.merges[last], self.merges[piece]
+        i = j = 0
+        while True:
+            s, t = left[i], right[j]
+            across = self.score.get(left[i + 2] + right[j + 1])
+            if across is not None and s < across >= t:
+                return False
+            if s == t == -math.inf:
+                return True
+            if s >= t:
+                i += 3
+            else:
+                j += 3
+
+    def path(self, chunk: str) -> bytes:
+        """The output labels of the shortest path through the lattice of a chunk, as little-endian 32-bit integers."""
+        n, root, longest, follows, labels = len(chunk), self.root, self.longest, self.follows, self.labels
+        if len(follows) > _REMEMBERED:
+            follows.clear()
+        at, last, arcs = 0, -1, None
+        way: list[tuple] = []  # the states passed, (position, last piece or -1), with the arcs that were not tried
+        out: list[bytes] = []
+        closed: set[tuple[int, int]] = set()  # states from which no finite path leads to the end
+        while at < n:
+            if arcs is None:
+                node = root
+                for c in chunk[at : at + longest]:
+                    below = node.get(c)
+                    if below is None:
                         break
-                elif end - start == 1:
-                    last[end], back[end] = "", start
-        out: list[list[int]] = []
-        while n:
-            piece = last[n]
-            if piece is None:
-                raise AssertionError(f"no finite path for {chunk!r}")
-            out.append([self.ids[piece]] if piece else [self.bytes[b] for b in chunk[back[n] : n].encode()])
-            n = back[n]
-        return [i for part in reversed(out) for i in part]
+                    node = below
+                arcs = iter(node[""])
+            for piece, size in arcs:
+                if (last < 0 or piece < 0 or follows[last << 32 | piece]) and not (closed and (at + size, piece) in closed):
+                    way.append((at, last, arcs))
+                    out.append(labels[piece] if piece >= 0 else b"".join(labels[self.bytes[b]] for b in chunk[at].encode()))
+                    at, last, arcs = at + size, piece, None
+                    break
+            else:
+                if not way:
+                    raise AssertionError(f"no finite path for {chunk!r}")
+                closed.add((at, last))
+                at, last, arcs = way.pop()
+                out.pop()
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
@@ -182,10 +219,21 @@ class _Paths(dict):
         self.transducer = transducer
 
     def __missing__(self, chunk: str) -> bytes:
-        path = self[chunk] = np.array(self.transducer.path(chunk), "<i4").tobytes()
+        path = self[chunk] = self.transducer.path(chunk)
         return path
 
 
+class _Follows(dict):
+    """By the numbers of two pieces, the first one shifted by 32 bits."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+
+    def __missing__(self, key: int) -> bool:
+        may = self[key] = self.transducer.may_follow(key >> 32, key & 0xFFFFFFFF)
+        return may
+
+
 @functools.cache
 def load(path: str) -> Transducer:
     """Compiled once in each worker."""

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -239,6 +241,54 @@ def test_ids_equal_the_library(spark):
         assert fst.decode(ids) == library.decode(ids.tolist()), text
 
 
+def test_new_words_take_few_steps():
+    """Lines run by the transducer for each character of words that it hasn't seen."""
+    fst = sentencepieces.load(PIECES)
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("aeiouélnrstdhmß") for _ in range(r.randint(6, 14))) for _ in range(2000))
+    fst.paths.clear()
+    fst.follows.clear()
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        if frame.f_code.co_filename != sentencepieces.__file__:
+            return None
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        fst.encode(text)
+    finally:
+        sys.settrace(before)
+    assert lines < 40 * len(text), lines / len(text)
+
+
+def test_paths_equal_merging_for_small_models():
+    r = random.Random(4)
+    letters = [(f"<0x{b:02X}>", 0.0, sentencepieces.BYTE) for b in range(256)]
+    for ordered in (True, False) * 10:
+        found = ["a", "b"]
+        for _ in range(r.randint(1, 9)):
+            piece = r.choice(found) + r.choice(found)
+            if piece not in found and len(piece) < 7:
+                found.append(piece)
+        ranks = list(range(len(found)))
+        if not ordered:
+            r.shuffle(ranks)
+        pieces = [(p, -float(k), sentencepieces.NORMAL) for p, k in zip(found, ranks, strict=True)]
+        score = {p: s for p, s, _ in pieces}
+        fst = sentencepieces.Transducer(sentencepieces.Model(letters + pieces, merges=True, byte_fallback=True, dummy_prefix=False))
+        for text in map("".join, itertools.chain.from_iterable(itertools.product("ab", repeat=n) for n in range(1, 9))):
+            parts = list(text)
+            while best := max(((score[x + y], -i) for i, (x, y) in enumerate(itertools.pairwise(parts)) if x + y in score), default=None):
+                parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+            assert np.frombuffer(fst.encode(text), "<i4").tolist() == [256 + found.index(p) for p in parts], (text, pieces)
+        assert np.frombuffer(fst.encode("acé"), "<i4").tolist() == [256, 0x63, 0xC3, 0xA9]
+
+
 def test_encode_and_decode_frames(awkward, nothing):
     coded = sentencepieces.encode(awkward, PIECES)
     got = coded.collect()
